@@ -69,7 +69,7 @@ WITH d AS (
     SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
     SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
     FROM d
 ), windows AS (
     SELECT row_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) >= 8
@@ -88,8 +88,8 @@ WITH d AS (
         CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
         length(t) - length(translate(t, '!', '')) AS n_shouts,
         length(t) - length(translate(t, '{quality_rules.UPPER}', '')) AS n_upper,
-        len(list_filter(ws, x -> lower(rtrim(x, '.,;:!?')) IN ({_STOP}))) AS n_stop,
-        len(list_filter(ls, x -> substr(ltrim(x, ' '), 1, 1) IN ('-', '*', '•', '|'))) AS n_bullets, len(ls) AS n_lines
+        len(list_filter(ws, lambda x: lower(rtrim(x, '.,;:!?')) IN ({_STOP}))) AS n_stop,
+        len(list_filter(ls, lambda x: substr(ltrim(x, ' '), 1, 1) IN ('-', '*', '•', '|'))) AS n_bullets, len(ls) AS n_lines
     FROM w LEFT JOIN covered USING (row_id)
 ), j AS (
     SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
