@@ -1,11 +1,556 @@
-"""Registered queries over the engine's tables, and their SQL."""
+"""Registered queries over the engine's tables, and their SQL.
+
+Each query is a function and, where there is one, the equivalent SQL for DuckDB.
+All run over whole tables; limits are those that a query is about.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.buckets import bucket_end, bucket_start, micros
+from ..functions.periods import Retention, parse_bound
+from ..operators import inspect, maintenance, recipes
+from ..operators import series as series_ops
+from ..operators.tagfilter import collated_predicate, resolve_series, tag_predicate
+from ..sources.schema import TableDef, tag
+from ..sources.table import Table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ts(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+LO, HI = "2024-01-08 00:00:00", "2024-01-20 00:00:00"
+NOW = "2024-01-31 00:00:00"
+TAGS = ["event_type", "user_id"]
+
+
+# --- scans, ranges, lookups
+
+
+@query(f"SELECT event_type, round(avg(value), 4) AS avg_value FROM events WHERE ts BETWEEN TIMESTAMP '{LO}' AND TIMESTAMP '{HI}' AND event_type IN ('click', 'view', 'purchase') GROUP BY event_type")
+def fanout_avg_by_tag(spark, sf):
+    e = read(spark, sf, "events").where(F.col("ts").between(ts(LO), ts(HI)) & F.col("event_type").isin("click", "view", "purchase"))
+    return e.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("avg_value"))
+
+
+@query("SELECT count(*) AS n, count(value) AS n_value, min(ts) AS ts_min, max(ts) AS ts_max, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most FROM events")
+def full_scan_stats(spark, sf):
+    return read(spark, sf, "events").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_value"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
+
+
+def _range(name: str, spark_where, sql_where: str) -> None:
+    @query(f"SELECT event_id, ts, user_id, event_type, value FROM events WHERE {sql_where}", name)
+    def run(spark, sf):
+        return read(spark, sf, "events").where(spark_where()).select("event_id", "ts", "user_id", "event_type", "value")
+
+
+_range("ts_range_closed", lambda: F.col("ts").between(ts(LO), ts(HI)), f"ts >= TIMESTAMP '{LO}' AND ts <= TIMESTAMP '{HI}'")
+_range("ts_range_half_open", lambda: (F.col("ts") >= ts(LO)) & (F.col("ts") < ts(HI)), f"ts >= TIMESTAMP '{LO}' AND ts < TIMESTAMP '{HI}'")
+_range("ts_range_open", lambda: (F.col("ts") > ts(LO)) & (F.col("ts") < ts(HI)), f"ts > TIMESTAMP '{LO}' AND ts < TIMESTAMP '{HI}'")
+_range("tag_in", lambda: tag_predicate({"event_type": ["click", None, "signup"]}), "event_type IN ('click', 'signup')")
+_range("tag_and", lambda: tag_predicate({"event_type": "view", "user_id": [1, 2, 3, 5, 8, 13, 21]}), "event_type = 'view' AND user_id IN (1, 2, 3, 5, 8, 13, 21)")
+_range("tag_not_in", lambda: ~F.col("event_type").isin("click", "view"), "event_type NOT IN ('click', 'view')")
+_range("tag_or_value", lambda: (F.col("event_type") == "purchase") | (F.col("value") > 99), "event_type = 'purchase' OR value > 99")
+_range("tag_like", lambda: F.col("event_type").like("%i%"), "event_type LIKE '%i%'")
+
+
+@query("SELECT event_id, ts FROM events WHERE ts IN (SELECT max(ts) FROM events UNION ALL SELECT min(ts) FROM events)")
+def ts_exact(spark, sf):
+    e = read(spark, sf, "events")
+    ends = e.agg(F.array(F.min("ts"), F.max("ts")).alias("x")).select(F.explode("x").alias("ts"))
+    return e.join(F.broadcast(ends), "ts", "left_semi").select("event_id", "ts")  # two rows
+
+
+_PROBES = ["2023-12-01 00:00:00", "2024-01-01 12:00:00", "2024-01-10 06:30:00", "2024-01-17 00:00:00", "2024-02-01 00:00:00"]
+_PROBE_SQL = " UNION ALL ".join(f"SELECT TIMESTAMP '{p}' AS probe" for p in _PROBES)
+
+
+def _lookup(name: str, side: str, best: str) -> None:
+    @query(f"SELECT probe, (SELECT {best}(ts) FROM events WHERE ts {side} probe) AS found FROM ({_PROBE_SQL})", name)
+    def run(spark, sf):
+        # One aggregate for all probes: a conditional extreme each, one scan.
+        e = read(spark, sf, "events")
+        test = {"<=": lambda p: F.col("ts") <= p, ">=": lambda p: F.col("ts") >= p, "<": lambda p: F.col("ts") < p, ">": lambda p: F.col("ts") > p}[side]
+        pick = F.max if best == "max" else F.min
+        one = e.agg(F.array(*(F.struct(ts(p).alias("probe"), pick(F.when(test(ts(p)), F.col("ts"))).alias("found")) for p in _PROBES)).alias("x"))
+        return one.select(F.explode("x").alias("x")).select("x.probe", "x.found")
+
+
+_lookup("ts_floor_lookup", "<=", "max")
+_lookup("ts_ceil_lookup", ">=", "min")
+_lookup("ts_before_lookup", "<", "max")
+_lookup("ts_after_lookup", ">", "min")
+
+
+@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def latest_n(spark, sf):
+    return read(spark, sf, "events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
+
+
+@query("SELECT event_id, ts, event_type FROM events ORDER BY ts, event_id LIMIT 20")
+def earliest_n(spark, sf):
+    return read(spark, sf, "events").select("event_id", "ts", "event_type").orderBy("ts", "event_id").limit(20)
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT 15 OFFSET 100")
+def page_offset(spark, sf):
+    return read(spark, sf, "events").select("event_id", "ts").orderBy("ts", "event_id").offset(100).limit(15)
+
+
+@query("SELECT event_id, ts FROM (SELECT event_id, ts, value FROM events ORDER BY value DESC, event_id LIMIT 50) ORDER BY ts LIMIT 10")
+def nested_limit(spark, sf):
+    top = read(spark, sf, "events").select("event_id", "ts", "value").orderBy(F.desc("value"), "event_id").limit(50)
+    return top.orderBy("ts").limit(10).select("event_id", "ts")
+
+
+@query("SELECT event_type, user_id, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_per_series(spark, sf):
+    e = read(spark, sf, "events").select("event_type", "user_id", "event_id", "ts", "value")
+    return recipes.last_per_series(e, TAGS, "ts", ["event_id"])
+
+
+# --- tags, collations, nulls
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS event_type, event_id FROM events) WHERE lower(event_type) IN ('click', 'view') GROUP BY event_type")
+def tag_ci(spark, sf):
+    e = read(spark, sf, "events").select(F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("event_type"), "event_id")
+    found = resolve_series(e, e.select("event_type").distinct(), {"event_type": ["CLICK", "View"]}, "UTF8_LCASE")
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT CASE WHEN event_id % 3 = 0 THEN event_type || '  ' ELSE event_type END AS t, event_id FROM events) WHERE lower(rtrim(t)) = 'click'")
+def tag_rtrim(spark, sf):
+    e = read(spark, sf, "events").select(F.when(F.col("event_id") % 3 == 0, F.concat("event_type", F.lit("  "))).otherwise(F.col("event_type")).alias("t"), "event_id")
+    return e.where(collated_predicate({"t": "CLICK "}, "latin1_swedish_ci")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("WITH t AS (SELECT nullif(event_type, 'view') AS t, event_id FROM events) SELECT (SELECT count(*) FROM t WHERE t IS NULL) AS is_null, (SELECT count(*) FROM t WHERE t = NULL) AS eq_null, (SELECT count(*) FROM t WHERE t IN ('click', NULL)) AS in_null, (SELECT count(*) FROM t WHERE t IS NOT DISTINCT FROM NULL) AS safe_null, (SELECT count(DISTINCT t) FROM t) AS series")
+def tag_null_semantics(spark, sf):
+    t = F.nullif(F.col("event_type"), F.lit("view"))
+    count = lambda c: F.count(F.when(c, 1))
+    return read(spark, sf, "events").agg(count(t.isNull()).alias("is_null"), count(t == F.lit(None)).alias("eq_null"), count(t.isin("click", None)).alias("in_null"), count(t.eqNullSafe(F.lit(None))).alias("safe_null"), F.count_distinct(t).alias("series"))
+
+
+@query("SELECT t, count(*) AS n FROM (SELECT CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN '' ELSE event_type END AS t FROM events) GROUP BY t")
+def tag_null_and_empty(spark, sf):
+    t = F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("string")).when(F.col("event_id") % 5 == 1, F.lit("")).otherwise(F.col("event_type"))
+    return read(spark, sf, "events").groupBy(t.alias("t")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, user_id, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS BIGINT) AS series_id FROM events GROUP BY event_type, user_id")
+def series_index(spark, sf):
+    return series_ops.series_index(read(spark, sf, "events"), TAGS, ["event_id"])
+
+
+@query("SELECT event_type, user_id, count(*) AS rows, min(ts) AS ts_min, max(ts) AS ts_max FROM events GROUP BY event_type, user_id")
+def series_ranges(spark, sf):
+    return series_ops.series_ranges(read(spark, sf, "events"), TAGS, "ts")
+
+
+@query("SELECT count(*) AS n FROM events WHERE (event_type, user_id) IN (SELECT event_type, user_id FROM events GROUP BY event_type, user_id HAVING count(*) >= 15)")
+def series_filter(spark, sf):
+    e = read(spark, sf, "events").select(*TAGS)
+    busy = e.groupBy(*TAGS).count().where("count >= 15").select(*TAGS)
+    return e.join(busy, TAGS, "left_semi").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- buckets and calendar
+
+_BUCKET_SQL = {
+    "1 HOUR": "date_trunc('hour', ts)", "6 HOUR": "time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01')", "12 HOUR": "time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01')",
+    "1 DAY": "CAST(date_trunc('day', ts) AS TIMESTAMP)", "1 WEEK": "CAST(date_trunc('week', ts) AS TIMESTAMP)", "1 MONTH": "CAST(date_trunc('month', ts) AS TIMESTAMP)",
+}
+
+
+def _bucket(interval: str, sql: str) -> None:
+    @query(f"SELECT {sql} AS bucket, count(*) AS n, count(DISTINCT (event_type, user_id)) AS series, min(ts) AS ts_min, max(ts) AS ts_max FROM events GROUP BY 1", "bucket_" + interval.lower().replace(" ", "_"))
+    def run(spark, sf):
+        e = read(spark, sf, "events")
+        return e.groupBy(bucket_start(F.col("ts"), interval).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), series_ops.count_series(TAGS).alias("series"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"))
+
+
+for _i, _s in _BUCKET_SQL.items():
+    _bucket(_i, _s)
+
+
+@query("SELECT event_id, CAST(date_trunc('month', ts) AS TIMESTAMP) AS s, CAST(date_trunc('month', ts) AS TIMESTAMP) + INTERVAL '1 month' AS e, strftime(ts, '%Y%m%dT%H%M%S') AS compact, ts - INTERVAL '1 month' AS month_ago, CAST(epoch_us(ts) AS BIGINT) AS us FROM events")
+def calendar_functions(spark, sf):
+    e = read(spark, sf, "events")
+    return e.select("event_id", bucket_start(F.col("ts"), "1 MONTH").alias("s"), bucket_end(F.col("ts"), "1 MONTH").alias("e"), F.date_format("ts", "yyyyMMdd'T'HHmmss").alias("compact"), F.timestamp_add("MONTH", F.lit(-1), F.col("ts")).alias("month_ago"), micros(F.col("ts")).alias("us"))
+
+
+@query("SELECT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS bucket, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1, 2")
+def lineitem_daily_by_flag(spark, sf):
+    return recipes.downsample(read(spark, sf, "lineitem"), "l_shipdate", "1 DAY", ["l_returnflag"], {"n": F.count(F.lit(1)), "quantity": F.round(F.sum("l_quantity"), 2)})
+
+
+@query("SELECT CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS bucket, l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY 1, 2, 3")
+def lineitem_weekly_revenue(spark, sf):
+    return recipes.downsample(read(spark, sf, "lineitem"), "l_shipdate", "1 WEEK", ["l_returnflag", "l_linestatus"], {"revenue": F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2)})
+
+
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS bucket, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 2) AS price FROM orders GROUP BY 1, 2")
+def orders_monthly_by_priority(spark, sf):
+    return recipes.downsample(read(spark, sf, "orders"), "o_orderdate", "1 MONTH", ["o_orderpriority"], {"n": F.count(F.lit(1)), "price": F.round(F.avg("o_totalprice"), 2)})
+
+
+# --- chunks, retention, estimates
+
+_CHUNKS = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, count(*) AS n, count(DISTINCT (event_type, user_id)) AS series, min(ts) AS ts_min, max(ts) AS ts_max FROM events GROUP BY 1"
+
+
+def _chunks(spark, sf) -> DataFrame:
+    return _QUERIES["bucket_1_day"](spark, sf)
+
+
+@query(_CHUNKS)
+def chunk_catalog(spark, sf):
+    return _chunks(spark, sf)
+
+
+def _cutoff(period: str):
+    return F.timestamp_add("MICROSECOND", F.lit(Retention.parse(period).cutoff(parse_bound(NOW))), ts("1970-01-01 00:00:00"))
+
+
+@query(f"SELECT bucket, n FROM ({_CHUNKS}) WHERE ts_max < TIMESTAMP '{NOW}' - INTERVAL '15 days'")
+def retention_dropped(spark, sf):
+    return _chunks(spark, sf).where(F.col("ts_max") < _cutoff("15 DAYS")).select("bucket", "n")
+
+
+@query(f"SELECT bucket, n FROM ({_CHUNKS}) WHERE ts_max >= TIMESTAMP '{NOW}' - INTERVAL '15 days'")
+def retention_kept(spark, sf):
+    return _chunks(spark, sf).where(F.col("ts_max") >= _cutoff("15 DAYS")).select("bucket", "n")
+
+
+@query(f"SELECT bucket, CASE WHEN ts_max < TIMESTAMP '{NOW}' - INTERVAL '21 days' THEN 'EXPIRED' WHEN bucket + INTERVAL '1 day' > TIMESTAMP '{NOW}' - INTERVAL '7 days' THEN 'HOT' WHEN n % 2 = 0 THEN 'COLD' ELSE 'WARM' END AS status FROM ({_CHUNKS})")
+def chunk_status(spark, sf):
+    end = F.timestamp_add("DAY", F.lit(1), F.col("bucket"))
+    status = F.when(F.col("ts_max") < _cutoff("21 DAYS"), "EXPIRED").when(end > _cutoff("7 DAYS"), "HOT").when(F.col("n") % 2 == 0, "COLD").otherwise("WARM")
+    return _chunks(spark, sf).select("bucket", status.alias("status"))
+
+
+@query(f"SELECT bucket, n FROM ({_CHUNKS}) WHERE bucket <= TIMESTAMP '{HI}' AND bucket + INTERVAL '1 day' > TIMESTAMP '{LO}'")
+def compact_scope(spark, sf):
+    return _chunks(spark, sf).where((F.col("bucket") <= ts(HI)) & (F.timestamp_add("DAY", F.lit(1), F.col("bucket")) > ts(LO))).select("bucket", "n")
+
+
+@query("SELECT event_type, user_id, CAST(row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS BIGINT) AS place, event_id FROM events")
+def compaction_merge(spark, sf):
+    w = Window.partitionBy(*TAGS).orderBy("ts", "event_id")
+    e = read(spark, sf, "events")
+    merged = e.where("event_id % 2 = 0").unionByName(e.where("event_id % 2 = 1"))
+    return merged.select(*TAGS, F.row_number().over(w).cast("long").alias("place"), "event_id")
+
+
+_EST_LO, _EST_HI = parse_bound("2024-01-05 07:00:00"), parse_bound("2024-01-21 19:30:00")
+
+
+@query(
+    f"WITH c AS (SELECT count(*) AS n, CAST(epoch_us(min(ts)) AS HUGEINT) AS lo, CAST(epoch_us(max(ts)) AS HUGEINT) AS hi FROM events GROUP BY date_trunc('day', ts)), "
+    f"e AS (SELECT n, greatest(hi - lo, 1) AS span, least({_EST_HI}, hi) - greatest({_EST_LO}, lo) + 1 AS part FROM c WHERE hi >= {_EST_LO} AND lo <= {_EST_HI}) "
+    "SELECT CAST(greatest(sum(greatest(n * least(greatest(part, 1), span) // span, 1)), 1) AS BIGINT) AS estimate FROM e"
+)
+def estimate_rows_range(spark, sf):
+    us = micros(F.col("ts"))
+    c = read(spark, sf, "events").groupBy(bucket_start(F.col("ts"), "1 DAY").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("lo"), F.max(us).alias("hi")).where(f"hi >= {_EST_LO} AND lo <= {_EST_HI}")
+    e = c.selectExpr("n", "greatest(hi - lo, 1) AS span", f"least({_EST_HI}, hi) - greatest({_EST_LO}, lo) + 1 AS part")
+    return e.selectExpr("CAST(greatest(sum(greatest(CAST((CAST(n AS DECIMAL(38, 0)) * least(greatest(part, 1), span)) div span AS BIGINT), 1)), 1) AS BIGINT) AS estimate")
+
+
+# --- joins
+
+
+@query("SELECT a.event_id, b.event_id AS other FROM events a JOIN events b ON a.ts = b.ts")
+def join_ts_self(spark, sf):
+    e = read(spark, sf, "events").select("event_id", "ts")
+    return e.join(e.withColumnRenamed("event_id", "other"), "ts").select("event_id", "other")
+
+
+@query("SELECT e.event_type, count(*) AS n FROM events e JOIN (VALUES ('click', 1), ('view', 2)) k(t, r) ON e.event_type = k.t GROUP BY 1")
+def join_tag_keys(spark, sf):
+    keys = spark.createDataFrame([("click", 1), ("view", 2)], "event_type string, r int")
+    return read(spark, sf, "events").join(F.broadcast(keys), "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))  # two rows
+
+
+@query("SELECT c.c_mktsegment, count(*) AS n, count(o.o_orderkey) AS orders, round(sum(o.o_totalprice), 2) AS price FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F' GROUP BY 1")
+def join_dim_left(spark, sf):
+    o = read(spark, sf, "orders").where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey")
+    return read(spark, sf, "customer").join(o, "c_custkey", "left").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.count("o_orderkey").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+
+
+@query("SELECT n.n_name, r.r_name FROM nation n CROSS JOIN region r")
+def cross_small(spark, sf):
+    return read(spark, sf, "nation").select("n_name").crossJoin(read(spark, sf, "region").select("r_name"))
+
+
+@query("SELECT count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def semi_in(spark, sf):
+    o = read(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf, "customer").join(o, "c_custkey", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def anti_not_exists(spark, sf):
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT event_id, value FROM events WHERE value > (SELECT avg(value) * 2 FROM events)")
+def scalar_subquery(spark, sf):
+    read(spark, sf, "events").createOrReplaceTempView("tidemark_events")
+    return spark.sql("SELECT event_id, value FROM tidemark_events WHERE value > (SELECT avg(value) * 2 FROM tidemark_events)")
+
+
+@query("SELECT count(*) AS n FROM lineitem a JOIN (SELECT DISTINCT l_discount FROM lineitem WHERE l_tax > 0.07) b ON a.l_discount = b.l_discount")
+def join_on_float(spark, sf):
+    line = read(spark, sf, "lineitem")
+    return line.join(line.where("l_tax > 0.07").select("l_discount").distinct(), "l_discount").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n.n_name, count(*) AS n, round(sum(l.l_extendedprice), 2) AS price FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE l.l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY 1")
+def star_join(spark, sf):
+    line = read(spark, sf, "lineitem").where(F.col("l_shipdate") >= ts("1995-01-01 00:00:00"))
+    o, c, n = read(spark, sf, "orders"), read(spark, sf, "customer"), read(spark, sf, "nation")
+    j = line.join(o, line["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    return j.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@query("SELECT e.event_id, (SELECT max(p.value) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts = (SELECT max(q.ts) FROM events q WHERE q.event_type = 'purchase' AND q.user_id = e.user_id AND q.ts <= e.ts)) AS right_value FROM events e WHERE e.event_type = 'view'")
+def asof_last_purchase(spark, sf):
+    e = read(spark, sf, "events")
+    left = e.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    return recipes.asof_join(left, e.where("event_type = 'purchase'").select("user_id", "ts", "value"), ["user_id"], "ts", ["value"]).select("event_id", "right_value")
+
+
+# --- aggregates, windows, sets, scalar functions
+
+
+@query("SELECT event_type, user_id, count(*) AS n, round(sum(value), 4) AS total, round(min(value), 6) AS least, round(max(value), 6) AS most FROM events GROUP BY event_type, user_id")
+def group_by_tags(spark, sf):
+    return read(spark, sf, "events").groupBy(*TAGS).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
+
+
+@query("SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY l_shipdate")
+def group_by_ts(spark, sf):
+    return read(spark, sf, "lineitem").groupBy("l_shipdate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
+def group_by_date(spark, sf):
+    return read(spark, sf, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(DISTINCT event_type) AS types, count(DISTINCT user_id) AS users, count(DISTINCT (event_type, user_id)) AS series FROM events")
+def count_distinct_multi(spark, sf):
+    return read(spark, sf, "events").agg(F.count_distinct("event_type").alias("types"), F.count_distinct("user_id").alias("users"), series_ops.count_series(TAGS).alias("series"))
+
+
+@query("SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM events GROUP BY user_id")
+def listagg_ordered(spark, sf):
+    read(spark, sf, "events").createOrReplaceTempView("tidemark_events")
+    return spark.sql("SELECT user_id, listagg(CAST(event_id AS STRING), ',') WITHIN GROUP (ORDER BY event_id) AS ids FROM tidemark_events GROUP BY user_id")
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def distinct_tags(spark, sf):
+    return read(spark, sf, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+
+
+@query("SELECT l_returnflag, CAST(CAST(sum(CAST(l_orderkey AS DECIMAL(20, 0))) AS DECIMAL(30, 0)) AS VARCHAR) AS keys, CAST(CAST(sum(CAST(l_quantity AS DECIMAL(12, 2))) AS DECIMAL(22, 2)) AS VARCHAR) AS quantity FROM lineitem GROUP BY 1")
+def sum_decimals(spark, sf):
+    return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.sum(F.col("l_orderkey").cast("decimal(20,0)")).cast("decimal(30,0)").cast("string").alias("keys"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("decimal(22,2)").cast("string").alias("quantity"))
+
+
+@query("SELECT event_id, coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), -1) AS next_id FROM events")
+def lead_next_event(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.coalesce(F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(-1)).alias("next_id"))
+
+
+@query("SELECT * FROM (SELECT event_id, delta_us, delta_us - lag(delta_us) OVER w AS delta2_us FROM (SELECT *, CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS BIGINT) AS delta_us FROM events) WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, event_id)) WHERE delta2_us IS NOT NULL")
+def delta_of_delta(spark, sf):
+    return recipes.second_difference(read(spark, sf, "events"), TAGS, "ts", ["event_id"]).select("event_id", "delta_us", "delta2_us").where("delta2_us IS NOT NULL")
+
+
+@query("WITH m AS (SELECT user_id, event_type, event_id, ts, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT user_id, event_type, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS run FROM m) SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS length FROM r GROUP BY user_id, run, event_type")
+def rle_runs(spark, sf):
+    return recipes.runs(read(spark, sf, "events"), ["ts", "event_id"], "event_type", ["user_id"]).select("user_id", F.col("run").cast("long").alias("run"), "event_type", "length")
+
+
+@query("SELECT event_id, round(avg(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1 hour' PRECEDING AND CURRENT ROW), 4) AS moving_avg FROM events")
+def moving_average_hour(spark, sf):
+    e = read(spark, sf, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return recipes.moving_average(e, ["event_type"], "ts", "cents", 3600).select("event_id", F.round("moving_avg", 4).alias("moving_avg"))
+
+
+@query("WITH b AS (SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS bucket, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT event_type, unnest(generate_series(min(bucket), max(bucket), INTERVAL '1 hour')) AS bucket FROM b GROUP BY 1) SELECT s.event_type, s.bucket, coalesce(b.n, 0) AS n FROM s LEFT JOIN b USING (event_type, bucket)")
+def gap_fill_hourly(spark, sf):
+    b = recipes.downsample(read(spark, sf, "events"), "ts", "1 HOUR", ["event_type"], {"n": F.count(F.lit(1))})
+    return recipes.gap_fill(b, ["event_type"], "1 HOUR").fillna(0, ["n"])
+
+
+@query("SELECT event_id, round(value - lag(value) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id), 6) AS delta FROM events")
+def value_delta(spark, sf):
+    return recipes.delta(read(spark, sf, "events"), TAGS, "ts", "value", ["event_id"]).select("event_id", F.round("delta", 6).alias("delta"))
+
+
+@query("SELECT s_name AS name, 'supplier' AS kind FROM supplier UNION ALL SELECT c_name, 'customer' FROM customer")
+def union_all(spark, sf):
+    s = read(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.lit("supplier").alias("kind"))
+    return s.unionByName(read(spark, sf, "customer").select(F.col("c_name").alias("name"), F.lit("customer").alias("kind")))
+
+
+@query("(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def set_operations(spark, sf):
+    c, s = read(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), read(spark, sf, "supplier")
+    k = s.select(F.col("s_nationkey").alias("k"))
+    return c.union(k).distinct().subtract(c.intersect(s.where("s_acctbal < 0").select("s_nationkey")))
+
+
+@query(
+    "SELECT c_custkey, concat(c_name, '-', c_mktsegment) AS a, repeat('x', CAST(c_custkey % 4 AS INTEGER)) AS b, CAST(strlen(c_name) AS INTEGER) AS c, CAST(length(c_name) AS INTEGER) AS d, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS e, left(c_name, 4) AS f, substr(c_name, 2, 5) AS g, lower(c_mktsegment) AS h, "
+    "upper(hex(c_name)) AS i, md5(c_name) AS j, CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END AS k, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS l, least(c_custkey, 100) AS m, greatest(c_custkey, 100) AS n, CAST(c_custkey // 7 AS BIGINT) AS o, c_custkey % 7 AS p, bin(c_custkey) AS q, -c_custkey AS r, round(c_acctbal, 1) AS s FROM customer"
+)
+def scalar_functions(spark, sf):
+    c = read(spark, sf, "customer")
+    return c.selectExpr(
+        "c_custkey", "concat(c_name, '-', c_mktsegment) AS a", "repeat('x', CAST(c_custkey % 4 AS INT)) AS b", "octet_length(c_name) AS c", "char_length(c_name) AS d", "lpad(CAST(c_custkey AS STRING), 8, '0') AS e", "left(c_name, 4) AS f", "substring(c_name, 2, 5) AS g", "lower(c_mktsegment) AS h",
+        "hex(c_name) AS i", "md5(c_name) AS j", "if(c_acctbal > 0, 'pos', 'neg') AS k", "ifnull(nullif(c_mktsegment, 'BUILDING'), 'none') AS l", "least(c_custkey, 100) AS m", "greatest(c_custkey, 100) AS n", "c_custkey div 7 AS o", "c_custkey % 7 AS p", "bin(c_custkey) AS q", "-c_custkey AS r", "round(c_acctbal, 1) AS s",
+    )
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%Y-%m-%d %H:%M') AS f, CAST(month(ts) AS INTEGER) AS m, CAST(year(ts) AS INTEGER) AS y, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS days, CAST(floor(epoch(ts)) AS BIGINT) AS unix, ts + INTERVAL '90 minutes' AS later FROM events")
+def date_functions(spark, sf):
+    return read(spark, sf, "events").selectExpr("event_id", "CAST(to_date(ts) AS STRING) AS d", "date_format(ts, 'yyyy-MM-dd HH:mm') AS f", "month(ts) AS m", "year(ts) AS y", "datediff(to_date(ts), DATE'1970-01-01') AS days", "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS unix", "ts + INTERVAL '90' MINUTE AS later")
+
+
+# --- through the table layer: written, sealed, compacted, read back
+
+
+def _definition(options: dict) -> TableDef:
+    long, text = T.LongType(), T.StringType()
+    return TableDef(T.StructType([T.StructField("ts", T.TimestampNTZType(), False), tag("event_type", text), tag("user_id", long), T.StructField("event_id", long), T.StructField("value", T.DoubleType())]), options)
+
+
+def _scratch(spark: SparkSession, options: dict | None = None) -> Table:
+    """A table for one query: in the shared folder that spark.checkpoint.dir
+    names, or in local mode in a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="tidemark-") if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master else None)
+    if shared is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return Table.create(spark, f"{shared}/table-{uuid.uuid4().hex}", _definition(options or {"CHUNK_INTERVAL": "1 DAY"}))
+
+
+def _events(spark, sf) -> DataFrame:
+    return read(spark, sf, "events").select("ts", "event_type", "user_id", "event_id", "value")
+
+
+_ALL = "SELECT ts, event_type, user_id, event_id, value FROM events"
+
+
+@query(_ALL)
+def table_append_then_read(spark, sf):
+    t = _scratch(spark)
+    t.append(_events(spark, sf))
+    return t.df()
+
+
+@query(_ALL)
+def table_sealed_and_pending(spark, sf):
+    t, e = _scratch(spark), _events(spark, sf)
+    t.append(e.where("event_id % 3 = 0"))
+    t.flush(parse_bound(NOW))
+    t.append(e.where("event_id % 3 <> 0"))
+    return t.df()
+
+
+@query(_ALL)
+def table_compacted(spark, sf):
+    t, e, now = _scratch(spark, {"CHUNK_INTERVAL": "1 WEEK"}), _events(spark, sf), parse_bound(NOW)
+    for n in range(2):
+        t.append(e.where(f"event_id % 2 = {n}"))
+        t.flush(now)
+    maintenance.compact(t, now=now)
+    return t.df()
+
+
+@query(f"SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '{LO}' AND TIMESTAMP '{HI}' AND event_type = 'click'")
+def table_range_scan(spark, sf):
+    t = _scratch(spark)
+    t.append(_events(spark, sf))
+    t.flush(parse_bound(NOW))
+    return t.scan(LO, HI, {"event_type": "click"}).select("event_id", "ts")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")
+def table_latest(spark, sf):
+    t = _scratch(spark)
+    t.append(_events(spark, sf))
+    t.flush(parse_bound(NOW))
+    return t.latest(25).select("event_id", "ts")
+
+
+@query(f"SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket_start, count(*) AS row_count, count(DISTINCT (event_type, user_id)) AS series, min(ts) AS ts_min, max(ts) AS ts_max FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '{NOW}' - INTERVAL '15 days'")
+def table_retention(spark, sf):
+    t, now = _scratch(spark, {"CHUNK_INTERVAL": "1 DAY", "RETENTION_PERIOD": "15 DAYS"}), parse_bound(NOW)
+    t.append(_events(spark, sf))
+    maintenance.optimize(t, now)
+    return inspect.chunks_view({"t": t}, now).select("bucket_start", "row_count", "series", "ts_min", "ts_max")
+
+
+@query("SELECT ts, event_type, user_id, event_id, value FROM events UNION ALL SELECT ts + INTERVAL '1 year', event_type, user_id, event_id, value FROM events")
+def table_self_insert(spark, sf):
+    t = _scratch(spark)
+    t.append(_events(spark, sf))
+    t.append(t.df().withColumn("ts", F.timestamp_add("YEAR", F.lit(1), F.col("ts"))))
+    return t.df()
+
+
+@query("SELECT ts, event_type, user_id, event_id, value FROM events WHERE event_type = 'view'")
+def table_truncate(spark, sf):
+    t, e = _scratch(spark), _events(spark, sf)
+    t.append(e)
+    t.truncate()
+    t.append(e.where("event_type = 'view'"))
+    return t.df()
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1")
+def table_time_travel(spark, sf):
+    t = _scratch(spark)
+    version = t.append(_events(spark, sf)).version
+    t.append(_events(spark, sf))
+    return t.as_of(version).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
