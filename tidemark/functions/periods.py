@@ -16,6 +16,8 @@ MAX_YEARS = 10_000
 LIMITS = {"HOUR": MAX_YEARS * 366 * 24, "DAY": MAX_YEARS * 366, "WEEK": MAX_YEARS * 53, "MONTH": MAX_YEARS * 12, "YEAR": MAX_YEARS}
 EPOCH = datetime(1970, 1, 1)
 MIN_US, MAX_US = -(2**63), 2**63 - 1
+#: The end of year 9999, where the calendar ends.
+END_US = 253_402_300_800_000_000
 
 
 def normalise(text: str) -> str:
@@ -39,7 +41,8 @@ def to_us(t: datetime) -> int:
 
 
 def from_us(us: int) -> datetime:
-    return EPOCH + timedelta(microseconds=us)
+    """The time, or the last one of the calendar."""
+    return datetime.max if us >= END_US else EPOCH + timedelta(microseconds=us)
 
 
 def add_months(us: int, months: int) -> int:
@@ -125,7 +128,7 @@ class ChunkInterval:
 
     def end(self, us: int) -> int:
         start = self.start(us)
-        return start + self.width if self.width else add_months(start, 1)
+        return start + self.width if self.width else min(add_months(start, 1), END_US)
 
 
 @dataclass(frozen=True)
@@ -148,8 +151,9 @@ class Codecs:
         return "NONE" if self.cold == "NONE" else "LZ4" if hot else self.cold
 
 
-#: Names of the codecs in Parquet.
-PARQUET = {"ZSTD": "zstd", "LZ4": "lz4_raw", "NONE": "uncompressed"}
+#: Codecs of the files. Fast ones are written with SNAPPY: Parquet's reader of
+#: LZ4_RAW fails on some dictionary pages.
+PARQUET = {"ZSTD": "zstd", "LZ4": "snappy", "NONE": "uncompressed"}
 
 
 def is_hot(bucket_end_us: int, now_us: int, threshold: Period) -> bool:

@@ -50,7 +50,7 @@ def collated(name: str, collation: str) -> Column:
 def collated_predicate(predicates: dict[str, object], collation: str) -> Column:
     def one(name: str, value: object) -> Column:
         values = [v for v in (value if isinstance(value, (list, tuple, set, frozenset)) else [value]) if v is not None]
-        return reduce(lambda a, b: a | b, (collated(name, collation) == F.lit(v) for v in values), F.lit(False))
+        return collated(name, collation).isin(*values) if values else F.lit(False)
 
     return reduce(lambda a, b: a & b, (one(k, v) for k, v in predicates.items()), F.lit(True))
 

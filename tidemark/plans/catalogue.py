@@ -218,9 +218,9 @@ def lineitem_daily_by_flag(spark, sf):
     return recipes.downsample(read(spark, sf, "lineitem"), "l_shipdate", "1 DAY", ["l_returnflag"], {"n": F.count(F.lit(1)), "quantity": F.round(F.sum("l_quantity"), 2)})
 
 
-@query("SELECT CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS bucket, l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY 1, 2, 3")
+@query("SELECT CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS bucket, l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem GROUP BY 1, 2, 3")
 def lineitem_weekly_revenue(spark, sf):
-    return recipes.downsample(read(spark, sf, "lineitem"), "l_shipdate", "1 WEEK", ["l_returnflag", "l_linestatus"], {"revenue": F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2)})
+    return recipes.downsample(read(spark, sf, "lineitem"), "l_shipdate", "1 WEEK", ["l_returnflag", "l_linestatus"], {"revenue": F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4)})
 
 
 @query("SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS bucket, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 2) AS price FROM orders GROUP BY 1, 2")

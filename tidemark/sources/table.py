@@ -156,10 +156,10 @@ class Table:
         return out
 
     def checksums(self, files: list[str]) -> dict[str, int]:
-        """CRC-32 of each file by its data name."""
+        """CRC-32 of each file that can be read, by its data name."""
         if not files:
             return {}
-        read = self.spark.read.format("binaryFile").load([f"{self.store.root}/{p}" for p in files])
+        read = self.spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").load([f"{self.store.root}/{p}" for p in files])
         return {data_name(r[0]): r[1] for r in read.select("path", F.crc32("content")).collect()}
 
     def commit(self, change, retries: int = RETRIES) -> Manifest:
