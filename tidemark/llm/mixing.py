@@ -80,10 +80,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 def mix(docs: DataFrame, keep: list[str] | None = None, seed: int = SEED, block: int = BLOCK_TOKENS, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """keep (by default doc_id) of every row with size, source_size, target and
     taken: the words that the mix takes of it, repeats counted."""
-    keep = ["doc_id"] if keep is None else keep
+    taken = _taken(docs, ["doc_id"] if keep is None else keep, seed, block, weights, cap)
+    return taken.select("row.*", "size", "source_size", "target", "taken")
+
+
+def _taken(docs: DataFrame, keep: list[str], seed: int = SEED, block: int = BLOCK_TOKENS, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """row, a struct of the columns to keep, with size, source_size, target and
+    taken."""
     text = whole_text()
     d = docs.select(
-        F.struct(*keep).alias("row"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("source_key"),
+        F.struct(*keep).alias("row"), "doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("source_key"),
         count_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("mixed"),
     ).withColumn("slot", F.pmod("mixed", F.lit(SLOTS)).cast("int"))
     d = d.repartition("source_key", "slot")
@@ -98,21 +104,20 @@ def mix(docs: DataFrame, keep: list[str] | None = None, seed: int = SEED, block:
     quotas = apportion(sized, ["source_key"], ["shard"], F.col("shard_size"), F.col("source_blocks")).select("source_key", "shard", "shard_size", "quota")
     plan = shards.select("source_key", "slot", "shard", "source_size", "target").join(quotas, ["source_key", "shard"])
     take = F.least(F.col("quota") * block, cap * F.col("shard_size"))
-    line = Window.partitionBy("source_key", "shard").orderBy(F.shiftrightunsigned("mixed", 12), "mixed", "row.doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source_key", "shard").orderBy(F.shiftrightunsigned("mixed", 12), "mixed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = d.join(plan, ["source_key", "slot"]).withColumn("before", F.coalesce(F.sum("size").over(line), F.lit(0)))
     whole = F.when(F.col("shard_size") > 0, F.floor(take / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
     out = out.withColumn("passes", whole).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), take - F.col("passes") * F.col("shard_size") - F.col("before"))))
     taken = (F.col("passes") * F.col("size") + F.col("part")).cast("long")
-    return out.select("row.*", "size", "source_size", "target", taken.alias("taken"))
+    return out.select("row", "size", "source_size", "target", taken.alias("taken"))
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents: each as often as whole passes took it, and the
     first words of it where a pass ended in it. Columns as before; n_chars, if
     there, follows the text."""
-    mixed = mix(docs, docs.columns, **how)
     fields = docs.columns
-    m = mixed.select(F.struct(*fields).alias("d"), "size", "taken").where("taken > 0")
+    m = _taken(docs, fields, **how).withColumnRenamed("row", "d").where("taken > 0")
     copies = m.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = F.least(F.col("taken") - (F.col("copy") - 1) * F.col("size"), F.col("size"))
     text = F.when(F.col("left") == F.col("size"), F.col("d.text")).otherwise(_first_words(F.col("d.text"), F.col("left")))
