@@ -55,7 +55,7 @@ class Engine:
         if isinstance(definition, T.StructType):
             definition = TableDef(definition, options or {})
         if temporary:
-            self.temporary[name] = f"{tempfile.gettempdir() if self.spark.sparkContext.master.startswith('local') else self.root}/.tmp-{uuid.uuid4().hex}/{name}"
+            self.temporary[name] = f"{tempfile.gettempdir() if re.match(r'local(\[|$)', self.spark.sparkContext.master) else self.root}/.tmp-{uuid.uuid4().hex}/{name}"
         return Table.create(self.spark, self._path(name), definition)
 
     def open(self, name: str) -> Table:
