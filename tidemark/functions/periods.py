@@ -16,6 +16,8 @@ MAX_YEARS = 10_000
 LIMITS = {"HOUR": MAX_YEARS * 366 * 24, "DAY": MAX_YEARS * 366, "WEEK": MAX_YEARS * 53, "MONTH": MAX_YEARS * 12, "YEAR": MAX_YEARS}
 EPOCH = datetime(1970, 1, 1)
 MIN_US, MAX_US = -(2**63), 2**63 - 1
+#: The first instant of year 1.
+FIRST_US = (datetime(1, 1, 1) - EPOCH) // timedelta(microseconds=1)
 #: The end of year 9999, where the calendar ends.
 END_US = 253_402_300_800_000_000
 

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..errors import ConflictError, CorruptError, InvalidArgError, NotFoundError, ReadOnlyError, UnsupportedError
 from ..functions import buckets
-from ..functions.periods import PARQUET, is_hot, parse_bound
+from ..functions.periods import FIRST_US, PARQUET, parse_bound
 from ..operators import series as S
 from ..operators import tagfilter
 from .manifest import FileEntry, Manifest, Store, Versions
@@ -243,11 +243,12 @@ class Table:
         exchange ranges over bucket, series and time, so a bucket that holds most
         rows is dealt to many tasks."""
         i, out = self.definition.interval, []
-        starts = sorted({s for f in files for s in self._bucket_starts(f)})
-        hot = [s for s in starts if is_hot(i.end(s), now, self.definition.hot_threshold)]
-        edge = min(hot, default=None)
+        lo, hi = min(i.start(f.ts_min) for f in files), max(i.start(f.ts_max) for f in files)
+        # The first hot bucket is the one that the threshold falls in.
+        line = self.definition.hot_threshold.before(now)
+        edge = i.start(line) if line >= FIRST_US else lo
         rows = self._read([f.path for f in files], meta=True).withColumn("__us", buckets.bucket_start_us(self.micros(), i))
-        parts = [(F.lit(True), bool(hot))] if edge is None or edge == starts[0] else [(F.col("__us") < edge, False), (F.col("__us") >= edge, True)]
+        parts = [(F.col("__us") < edge, False)] * (lo < edge) + [(F.col("__us") >= edge, True)] * (hi >= edge)
         for where, is_it in parts:
             order = ["__us", *self.tags, self.ts]
             sorted_rows = rows.where(where).withColumn("__bucket", buckets.compact_name(F.col("__us"))).repartitionByRange(*order).sortWithinPartitions(*order, SOURCE, ORDINAL)
@@ -255,11 +256,6 @@ class Table:
             out += [replace(e, sealed_at=now) for e in entries]
         return sorted(out, key=lambda e: (e.start, e.path))
 
-    def _bucket_starts(self, f: FileEntry) -> list[int]:
-        """The first and last bucket that a file's rows lie in."""
-        i = self.definition.interval
-        return [i.start(f.ts_min), i.start(f.ts_max)]
-
     # --- reading
 
     def _read(self, paths: list[str], meta: bool = False) -> DataFrame:
