@@ -12,6 +12,7 @@ base rule rejects such texts already.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,12 @@ RULES = (
 )
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), value computed once: the variable of a lambda over one element
+    stays as it is when the optimizer moves or repeats an expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def repeated_words(w: Column, size: int = WINDOW) -> Column:
     """Number of words that lie in a window of `size` words found twice or more
     in the text. A text whose window hashes all differ has none; in others the
@@ -75,37 +82,34 @@ def repeated_words(w: Column, size: int = WINDOW) -> Column:
         steps = F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(size)))
         return F.when(F.size(p) == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(size), lambda a, b: a + b))
 
-    # A one-element transform binds an expression to a name, so that it is
-    # computed once for the lambdas below it.
-    bound = F.transform(F.array(listed), lambda s: F.get(F.transform(F.array(places(s)), covered), F.lit(0)))
-    return F.when(n < 2, F.lit(0)).when(F.size(F.array_distinct(hashes)) == n, F.lit(0)).otherwise(F.get(bound, F.lit(0))).cast("long")
+    counted = bind(listed, lambda s: bind(places(s), covered))
+    return F.when(n < 2, F.lit(0)).when(F.size(F.array_distinct(hashes)) == n, F.lit(0)).otherwise(counted).cast("long")
 
 
-def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the struct `quality`: all measures and verdicts. Other columns
-    stay as they are."""
-    text, w = F.col("__q.t"), F.col("__q.w")
-    count_of = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, GAP_CHARS, "")) > 0)
-    bound = docs.withColumn("__q", F.struct(whole_text().alias("t"))).withColumn("__q", F.struct(F.col("__q.t").alias("t"), words(F.col("__q.t")).alias("w"), lines.alias("l")))
-    n = F.size(w).cast("long")
-    base = {
-        "n_words": n,
-        "word_chars": F.length(F.translate(text, GAP_CHARS, "")).cast("long"),
-        "n_symbols": count_of(SYMBOLS).cast("long"),
-        "n_dup_lines": (F.size("__q.l") - F.size(F.array_distinct("__q.l"))).cast("long"),
+def _counts(text: Column, w: Column, lines: Column) -> Column:
+    n = lambda x: x.cast("long")
+    count_of = lambda chars: n(F.length(text) - F.length(F.translate(text, chars, "")))
+    counts = {
+        "n_words": n(F.size(w)),
+        "word_chars": n(F.length(F.translate(text, GAP_CHARS, ""))),
+        "n_symbols": count_of(SYMBOLS),
+        "n_dup_lines": n(F.size(lines) - F.size(F.array_distinct(lines))),
         "n_repeat_words": repeated_words(w),
-        "n_shouts": count_of("!").cast("long"),
-        "n_upper": count_of(UPPER).cast("long"),
-        "n_stop": F.size(F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(*STOP_WORDS))).cast("long"),
-        "n_bullets": F.size(F.filter(F.col("__q.l"), lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•", "|"))).cast("long"),
-        "n_lines": F.size("__q.l").cast("long"),
+        "n_shouts": count_of("!"),
+        "n_upper": count_of(UPPER),
+        "n_stop": n(F.size(F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(*STOP_WORDS)))),
+        "n_bullets": n(F.size(F.filter(lines, lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•", "|")))),
+        "n_lines": n(F.size(lines)),
     }
-    out = bound.withColumn("__m", F.struct(*(c.alias(k) for k, c in base.items())))
-    m = lambda k: F.col(f"__m.{k}")
-    per = lambda k, of: m(k) / F.nullif(m(of), F.lit(0))
+    return F.struct(*(c.alias(k) for k, c in counts.items()))
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_upper", "n_stop", "n_bullets", "n_lines")
+
+
+def _verdict(m: Column, rules: tuple[Rule, ...]) -> Column:
+    per = lambda k, of: m[k] / F.nullif(m[of], F.lit(0))
     measures = {
-        "n_words": m("n_words"),
         "mean_word_chars": per("word_chars", "n_words"),
         "symbol_ratio": per("n_symbols", "n_words"),
         "shout_ratio": per("n_shouts", "n_words"),
@@ -121,15 +125,25 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             ok &= x >= rule.low
         if rule.high is not None:
             ok &= x <= rule.high
-        return F.coalesce(ok, F.lit(True)) | (m("n_words") < rule.of_words)
+        return F.coalesce(ok, F.lit(True)) | (m["n_words"] < rule.of_words)
 
-    failed = (m("n_words") < MIN_WORDS) | (100 * m("n_repeat_words") > MAX_REPEATED_PERCENT * m("n_words"))
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED_PERCENT * m["n_words"])
     broken = F.filter(F.array(*(F.when(~passes(r), F.lit(r.measure)) for r in rules)), lambda x: x.isNotNull())
-    verdict = F.struct("__m.*", *(measures[k].alias(k) for k in measures if k != "n_words"), failed.alias("base_failed"), broken.alias("broken"), (~failed & (F.size(broken) == 0)).alias("kept"))
-    return out.withColumn("quality", verdict).drop("__q", "__m")
+    return bind(broken, lambda b: F.struct(*(m[k].alias(k) for k in COUNTS), *(x.alias(k) for k, x in measures.items()), failed.alias("base_failed"), b.alias("broken"), (~failed & (F.size(b) == 0)).alias("kept")))
+
+
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """All counts, measures and verdicts of a text, as one expression."""
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, GAP_CHARS, "")) > 0)
+    parts = lambda t: F.struct(words(t).alias("w"), lines(t).alias("l"))
+    return bind(text, lambda t: bind(parts(t), lambda p: bind(_counts(t, p["w"], p["l"]), lambda m: _verdict(m, rules))))
+
+
+def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with the struct `quality`; other columns stay as they are."""
+    return docs.withColumn("quality", verdict(whole_text(), rules))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that the rules keep, columns unchanged."""
-    ok = measured(docs.select(F.struct("*").alias("d"), whole_text().alias("text")), rules).where("quality.kept")
-    return ok.select("d.*")
+    return docs.where(verdict(whole_text(), rules)["kept"])
