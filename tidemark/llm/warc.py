@@ -6,9 +6,9 @@ A converter parses them and makes the equivalent WARC records: identifiers are
 derived from what a record holds, timestamps and types from its header line and
 content, digests from its payload.
 
-Archives are written by Spark's text writer, one record after another, into the
-shared folder, and read with the binary file reader; so any store that Spark
-knows will do. Records with equal payloads (length and SHA-1 agree) are stored
+Archives are written by Spark's text writer, one record after another and
+compressed, into the shared folder, and read with the binary file reader; so any
+store that Spark knows will do. Records with equal payloads (length and SHA-1 agree) are stored
 once: that of the smallest page is a response, the others revisits that refer to
 it, with HTTP headers but no payload.
 
@@ -23,11 +23,14 @@ gives an empty result.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -144,21 +147,20 @@ def to_warc(r: ArcRecord, own_id: str | None = None, refers_to: str | None = Non
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogateescape") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields, names in lower case, and block of each record."""
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = fields.get("content-length", "")
-        if not size.isdigit() or end + 4 + int(size) > len(data):
-            at = end
+def read_warc(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields, names in lower case, and block of each record; of a stream
+    one record is held at a time."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
+    while line := stream.readline():
+        if not line.startswith(b"WARC/1."):
             continue
-        at = end + 4 + int(size)
-        yield fields, data[end + 4 : at]
+        fields = {}
+        while (line := stream.readline()).strip():
+            k, _, v = line.decode("utf-8", "surrogateescape").partition(":")
+            fields[k.strip().lower()] = v.strip()
+        size = fields.get("content-length", "")
+        if size.isdigit() and len(block := stream.read(int(size))) == int(size):
+            yield fields, block
 
 
 PAGE = "X-Page-Id"
@@ -203,7 +205,7 @@ def convert(pages: DataFrame, path: str, date: str = DATE, least_bytes: int = 0)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = known.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "payload", F.col("first_id").cast("long")).mapInArrow(run, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -215,7 +217,7 @@ def read(spark, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 rows = []
-                for fields, block in read_warc(content.as_py()):
+                for fields, block in read_warc(gzip.open(io.BytesIO(content.as_py()))):
                     head, payload = split_http(block)
                     http, kind, told = http_fields(head), fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                     if kind != "revisit" and sha1_32(payload) != told:
