@@ -159,6 +159,15 @@ def test_exact_passages_are_exact(spark):
     assert {r.doc_id: (r.passage_start, r.passage_end) for r in got} == want and all(r.identity == 1 for r in got)
 
 
+def test_passages_with_other_text_between(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    one, two = fresh(55), fresh(55)
+    rows = [(i, " ".join(fresh(20) + one + fresh(35) + two + fresh(20))) for i in range(3)]
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.passage_start, r.passage_end) for r in got} == {(i, s, s + 55) for i in range(3) for s in (20, 110)} and all(r.identity == 1 for r in got)
+
+
 def test_chain_equals_all_predecessors():
     rng = np.random.default_rng(4)
     for _ in range(50):
