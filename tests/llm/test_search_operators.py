@@ -168,6 +168,30 @@ def test_passages_with_other_text_between(spark):
     assert {(r.doc_id, r.passage_start, r.passage_end) for r in got} == {(i, s, s + 55) for i in range(3) for s in (20, 110)} and all(r.identity == 1 for r in got)
 
 
+def test_passages_whose_pieces_stand_elsewhere(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for n in range(40):  # lines of 20 words, each alone in an earlier document
+        lines = [fresh(20) for _ in range(3)]
+        rows += [(10 * n + x, " ".join(fresh(30) + line + fresh(30))) for x, line in enumerate(lines)]
+        for i in (10 * n + 5, 10 * n + 6):
+            rows.append((i, " ".join(fresh(30) + sum(lines, []) + fresh(30))))
+            want.add((i, 30, 90))
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.passage_start, r.passage_end) for r in got} == want
+
+
+def test_runs_depend_on_their_seeds_only():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 32, 200, dtype=np.uint32)
+    (h, p), (g, q) = substring_dedup.seeds(words), substring_dedup.seeds(words[70:])
+    one, two = substring_dedup.runs(h, p, 25), substring_dedup.runs(g, q, 25)
+    both = set(one) & set(two) - {-1}
+    assert len(both) >= len(set(two)) - 3 and len(set(one)) == len(set(one[one != -1])) + 1
+    assert all(r == -1 for r in substring_dedup.runs(h[:2], p[:2], 60)) and len(substring_dedup.runs(h[:0], p[:0], 25)) == 0
+
+
 def test_chain_equals_all_predecessors():
     rng = np.random.default_rng(4)
     for _ in range(50):
