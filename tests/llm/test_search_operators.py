@@ -62,6 +62,18 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_one_text_of_each_group_is_kept(spark):
+    rng = random.Random(21)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(24)]
+    rows = [(None, t) for t in texts[:8]] + [(None, texts[0]), (1, texts[1]), (2, None), (None, "")]  # null ids, alone, twice, and beside an id
+    for n, t in enumerate(texts[8:16]):  # ids of two groups: their own, and one that a smaller id has
+        rows += [(100 + n, t), (100 + n, texts[16 + n]), (50 + n, texts[16 + n])]
+    kept = simhash.keep_one(spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n int"))
+    want = [(None, texts[0]), (1, texts[1]), *((None, t) for t in texts[2:8]), (2, None)]
+    want += [x for n in range(8) for x in ((100 + n, texts[8 + n]), (50 + n, texts[16 + n]))]
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted(want, key=str) and kept.columns == ["doc_id", "text", "n"]
+
+
 @pytest.mark.parametrize("thresholds", [(0, 0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 0), (2, 0, 0), (3, -1, 0), (1, 2), (4,)])
 def test_every_plan_finds_all_links(spark, thresholds):
     rng = np.random.default_rng(5)

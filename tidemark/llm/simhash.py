@@ -67,15 +67,15 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, *more: str) -> DataFrame:
+    """doc_id, fp, the fingerprint as a signed long, and more columns."""
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", of(whole_text()).alias("fp"))
+    return docs.select("doc_id", of(whole_text()).alias("fp"), *more)
 
 
 @dataclass(frozen=True)
@@ -340,13 +340,20 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
+def grouped(prints: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Distinct fingerprints of prints (fp, doc_id) with first_id, the smallest
+    id that has them; and node, root of those linked to others: a fingerprint of
+    the group, which no other group has."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    found = components(links(distinct, choose(distinct, radius), radius))
+    return distinct, found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp and component_id of every row: the smallest id reachable over
     fingerprints within the radius."""
     prints = cut(fingerprints(docs, shingle, seed))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = components(links(distinct, choose(distinct, radius), radius))
-    with_roots = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    distinct, with_roots = grouped(prints, radius)
     named = distinct.join(with_roots, distinct["fp"] == with_roots["node"]).select("fp", "root", "first_id")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = named.join(smallest, "root").select("fp", "least_id")
@@ -358,11 +365,17 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document of each component, that of the smallest id; columns
-    unchanged. Of rows that share that id one stays."""
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One document of each group, that of the smallest id, null ids last, then
+    of the smallest hash of the text; columns unchanged. Ids may be null or
+    repeated: what counts is the group."""
     from pyspark.sql import Window
 
-    groups = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__n = 1").drop("__n")
+    prints = cut(fingerprints(docs.withColumn("__text", F.xxhash64("text")), shingle, seed, "__text"))
+    distinct, with_roots = grouped(prints, radius)
+    roots = distinct.join(with_roots, distinct["fp"] == with_roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), "__text"))
+    first = prints.join(roots, "fp").groupBy("root").agg(best.alias("best")).select("best.__id", F.col("best.__text").alias("__hash")).distinct()
+    kept = docs.withColumn("__text", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
+    # Rows of one id and text are copies of each other.
+    return kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy("__text"))).where("__n = 1").drop("__n", "__text")
