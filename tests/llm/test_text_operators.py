@@ -238,6 +238,20 @@ def test_expectation_finds_the_bad_labeler():
     assert abs(prior - 0.4) < 0.03 and np.allclose(rates[1], [0.9, 0.85, 0.8, 0.55], atol=0.04)
 
 
+def test_verdicts_do_not_depend_on_size():
+    rng = np.random.default_rng(14)
+    votes = [(a, b, c, d) for a in (0, 1) for b in (-1, 0, 1) for c in (0, 1) for d in (0, 1)]
+    for _ in range(10):
+        counted = []
+        for k in pii.ADDED:  # labelers right as often as rates says, on true and on false spans
+            rates = rng.uniform(0.65, 0.95, 4)
+            chances = [[np.prod([1 if x < 0 else r if x == y else 1 - r for x, r in zip(v, rates, strict=True)]) for v in votes] for y in (0, 1)]
+            counted += [(k, v, int(1 + 10_000 * n)) for v, n in zip(votes, np.average(chances, axis=0, weights=rng.uniform(0.2, 0.8, 2)), strict=True)]
+        small, large = pii.train(counted), pii.train((k, v, 1000 * n) for k, v, n in counted)
+        # What is left is the prior of the expectation, worth ten spans a kind.
+        assert all(abs(large.scores[x] - y) < 0.02 for x, y in small.scores.items())
+
+
 # --- scores
 
 
