@@ -229,6 +229,12 @@ def test_personal_data(spark, docs, none):
     assert pii.find(none).count() == pii.mask(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [19, 20, 512, 513, 5000])
+def test_secrets_of_any_length(n):
+    text = f'token = "{("aB3_" * n)[:n]}" end'
+    assert [p[:3] for p in pii.proposals(text, [])] == ([("secret", 9, 9 + n)] if n >= 20 else [])
+
+
 def test_expectation_finds_the_bad_labeler():
     rng = np.random.default_rng(3)
     true = rng.random(20_000) < 0.4
