@@ -16,7 +16,7 @@ dropping those already linked, so that a dense group costs about its size.
 Components of the links are found by alternating star steps on tables.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked
-like any other. Equal rows share a component. Null ids are never the smallest;
+like any other; very long texts are read whole. Equal rows share a component. Null ids are never the smallest;
 a component of null ids only has a null id. An empty table gives an empty
 result.
 """
@@ -41,11 +41,14 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 #: Numbers of partitions to choose from.
-PARTITIONS = (3, 4, 5)
+PARTITIONS = (2, 3, 4, 5)
 #: Cost of a shuffled row in compared pairs.
 ROW_COST = 50
-#: A bucket with more pairs than this is searched from member to member.
+#: A bucket with more pairs than this is searched from member to member; the
+#: links have the same components either way.
 DENSE_PAIRS = 1 << 22
+#: A fingerprint of more than one row in this many is hot.
+HOT_SHARE = 1024
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -195,11 +198,14 @@ def bucketed(distinct: DataFrame, plan: Plan) -> DataFrame:
     """bucket, fp, probe: every fingerprint in its own buckets (probe false) and
     in those that it probes."""
 
+    most = max(ball(len(bits), t) for bits, t in zip(plan.bits, plan.thresholds, strict=True) if t >= 0)
+    step = max(1, min(4096, (1 << 20) // most))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             whole = b.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(whole), 4096):
-                fp = np.ascontiguousarray(whole[at : at + 4096])
+            for at in range(0, len(whole), step):
+                fp = np.ascontiguousarray(whole[at : at + step])
                 for i, (bits, t) in enumerate(zip(plan.bits, plan.thresholds, strict=True)):
                     if t < 0:
                         continue
@@ -342,9 +348,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 def grouped(prints: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """Distinct fingerprints of prints (fp, doc_id) with first_id, the smallest
-    id that has them; and node, root of those linked to others: a fingerprint of
-    the group, which no other group has."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    id that has them, and n, the number of rows; and node, root of those linked
+    to others: a fingerprint of the group, which no other group has."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     found = components(links(distinct, choose(distinct, radius), radius))
     return distinct, found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
@@ -358,7 +364,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     smallest = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = named.join(smallest, "root").select("fp", "least_id")
     every = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(every, "fp").select("doc_id", "fp", "component_id")
+    return with_group(prints, every, distinct).select("doc_id", "fp", "component_id")
+
+
+def with_group(prints: DataFrame, table: DataFrame, distinct: DataFrame) -> DataFrame:
+    """prints joined with table, which has one row for each fingerprint. What
+    more than one row in HOT_SHARE has is joined by broadcast, of HOT_SHARE rows
+    at most, so that it stays where it is; the others are shuffled."""
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    hot = [r.fp for r in distinct.where(F.col("n") * HOT_SHARE > total).select("fp").collect()]
+    if not hot:
+        return prints.join(table, "fp")
+    is_hot = F.col("fp").isin(*hot)
+    return prints.where(is_hot).join(F.broadcast(table.where(is_hot)), "fp").unionByName(prints.where(~is_hot).join(table.where(~is_hot), "fp"))
 
 
 def hex_of(fp: Column) -> Column:
@@ -367,15 +385,18 @@ def hex_of(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One document of each group, that of the smallest id, null ids last, then
-    of the smallest hash of the text; columns unchanged. Ids may be null or
-    repeated: what counts is the group."""
+    of the smallest hash; columns unchanged. Ids may be null or repeated: what
+    counts is the group. Rows are known by 128 bits of hash of id and text; of
+    equal rows one stays. Texts are shuffled once."""
     from pyspark.sql import Window
 
-    prints = cut(fingerprints(docs.withColumn("__text", F.xxhash64("text")), shingle, seed, "__text"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keys = [F.xxhash64(F.lit(n), F.col("doc_id"), F.col("text")).alias(f"key{n}") for n in (1, 2)]
+    rows = docs.select(F.struct(*names).alias("row"), *keys)
+    prints = cut(fingerprints(docs.select("doc_id", "text", *keys), shingle, seed, "key1", "key2"))
     distinct, with_roots = grouped(prints, radius)
     roots = distinct.join(with_roots, distinct["fp"] == with_roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), "__text"))
-    first = prints.join(roots, "fp").groupBy("root").agg(best.alias("best")).select("best.__id", F.col("best.__text").alias("__hash")).distinct()
-    kept = docs.withColumn("__text", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
-    # Rows of one id and text are copies of each other.
-    return kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy("__text"))).where("__n = 1").drop("__n", "__text")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key1", "key2"))
+    first = with_group(prints, roots, distinct).groupBy("root").agg(best.alias("best")).select("best.key1", "best.key2")
+    kept = rows.join(first, ["key1", "key2"], "left_semi")
+    return kept.withColumn("n", F.row_number().over(Window.partitionBy("key1", "key2").orderBy("key1"))).where("n = 1").select("row.*")
