@@ -42,22 +42,38 @@ poker-stars-free.example.org/join win-jackpot.example.com/es/12 bet-big.example.
 spam-farm.example.net/en/29 link-farm.example.org/links seo-spam.example.com/de/5718 cheap-links.example.net/buy m.spam-blog.example.org/fr/8345
 blog.cheap-pills.example.com/en/1025 viagra-online.example.net/order pharmacy-discount.example.org/cialis pills-store.example.com/cheap cheap-meds.example.net/es/2774
 xxx-videos.example.org/watch free-porn.example.com/en/3160 adult-cams.example.net/live adult-chat.example.org/de/96 m.adult-x.example.com/es/4247
-free-money.example.net/get get-rich-fast.example.org/start quick-loan.example.com/apply payday-loans.example.net/fr/461 free-bets.example.com/en/7817
+free-money.example.net/get get-rich-fast.example.org/start quick-loan.example.com/apply payday-loans.example.net/fr/461 free-wager.example.com/en/7817
 crack-software.example.org/keygen warez-download.example.com/full torrent-free.example.net/movie free-spins.example.org/de/8817 hacked-apps.example.com/apk
 phish-login.example.net/verify account-verify-now.example.org/login ads-track.example.com/en/5450 ad-tracker.example.net/pixel banner-ads.example.org/fr/6750
 click-here-win.example.com/prize free-iphone.example.net/claim track-click.example.org/en/8695 fake-rolex.example.com/buy replica-bags.example.net/sale
+casino-bonus.example.org/free poker-bonus.example.com/win spam-links.example.net/de/3 cheap-viagra.example.org/pills xxx-adult.example.com/porn
+www.casino-online.example.net/slots online-casino.example.com/jackpot jackpot-slots.example.org/en/70 win-slots.example.net/bonus betting-odds.example.com/sports
+adult-videos.example.org/xxx porn-cams.example.net/free live-cams.example.com/adult sexy-chat.example.org/live hot-porn.example.com/videos
+cheap-pharmacy.example.net/meds online-pharmacy.example.org/viagra diet-pills.example.com/buy discount-pills.example.net/order buy-meds.example.org/cheap
+buy-links.example.com/seo link-spam.example.net/farm seo-links.example.org/cheap click-ads.example.com/track tracker-pixel.example.net/ads
+free-download.example.org/crack keygen-download.example.net/full cracked-apps.example.com/hack hack-tools.example.org/warez movie-torrent.example.net/free
+verify-login.example.com/account login-verify.example.org/phish claim-prize.example.net/win prize-winner.example.com/claim fast-loan.example.org/payday
+replica-rolex.example.net/fake fake-bags.example.com/replica rich-quick.example.org/money money-fast.example.net/rich loans-payday.example.com/quick
 """.split()
 WANTED = """
 www.city-library.example.com/books news-daily.example.net/en/12 blog.garden-notes.example.org/fr/381 recipes.example.com/soup docs.project.example.net/guide
 university.example.org/de/1848 school-portal.example.com/calendar museum.example.net/exhibits weather-report.example.org/en/884 science-journal.example.com/paper
-www.theren.example.net/en/884 m.thering.example.org/de/29 blog.tionsh.example.com/fr/382 theron.example.net/es/77.html ertion.example.org/en/5718
-www.anden.example.com/de/1025?page=2 ouner.example.net/fr/8345 stead.example.org/en/4981 heren.example.com/es/2774/ ingth.example.net/es/3160.html
-m.ththat.example.org/en/7817 ththan.example.com/de/8817 ththed.example.net/fr/6750 www.ththin.example.com/en/8695 blog.ththre.example.org/es/4247
+www.carpenter.example.net/en/417 m.harbour.example.org/de/52 blog.stations.example.com/fr/903 northern.example.net/es/15.html nutrition.example.org/en/2207
+www.handwerk.example.com/de/640?page=2 owners.example.net/fr/71 homestead.example.org/en/338 herons.example.com/es/59/ clothing.example.net/es/6104.html
+m.saturday.example.org/en/91 thursday.example.com/de/7 thirteen.example.net/fr/2050 www.another.example.com/en/411 blog.thread.example.org/es/18
 history-archive.example.com/fr/461 travel-guide.example.net/rome bicycle-repair.example.org/chain open-maps.example.com/berlin music-theory.example.net/chords
 parliament.example.org/en/5450 court-records.example.com/case health-service.example.net/clinic hospital.example.org/visit water-works.example.com/de/96
 programming.example.net/python compiler-notes.example.org/lexer linux-howto.example.com/en/3160 database.example.net/index mathematics.example.org/proof
 bird-watching.example.com/finch chess-club.example.net/openings theatre.example.org/program orchestra.example.com/season film-review.example.net/es/12
 village-news.example.org/council farmers-market.example.com/apples railway.example.net/de/5718 bookshop.example.org/novel language-course.example.com/verbs
+city-museum.example.com/en/31 library-books.example.net/de/904 school-news.example.org/fr/26 university-press.example.com/es/77 science-museum.example.net/en/1204
+www.gardening.example.org/de/3 blog.weather.example.com/en/59 m.travel.example.net/fr/812 history-books.example.org/es/6 news-archive.example.com/en/2450
+www.wandern.example.com/de/118 m.bibliothek.example.net/de/64 blog.rathaus.example.org/de/9 zeitung.example.com/de/7301 kochrezepte.example.net/de/25
+www.mairie.example.com/fr/480 m.bibliotheque.example.org/fr/15 blog.cuisine.example.net/fr/96 journal.example.com/fr/733 voyages.example.org/fr/8
+www.biblioteca.example.com/es/41 m.ayuntamiento.example.org/es/209 blog.cocina.example.net/es/17 noticias.example.com/es/3 montana.example.org/es/88
+walking-routes.example.com/alps mountain-huts.example.org/en/6 sailing-school.example.net/en/39 ski-trails.example.com/de/44 camping-guide.example.org/fr/2
+theory-notes.example.org/en/27 whether-or-not.example.net/en/90 the-third-thing.example.com/en/8 that-other-theatre.example.org/es/5 tennis-thursday.example.net/de/70
+chess-news.example.com/en/14 bird-club.example.org/en/602 hospital-visit.example.net/en/5 railway-guide.example.com/en/83 music-school.example.org/en/190
 """.split()
 
 
