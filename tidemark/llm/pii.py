@@ -10,30 +10,32 @@ each kind, how often a labeler is right on true and on false spans and how many
 spans are true. The probabilities it gives train the final classifier, a
 logistic regression over votes and form, which decides which spans are added.
 
-Votes and form make a pattern; there are few, whatever the corpus: the corpus is
-read once to count them, by kind and pattern, and once to apply the result. Both
-models are fitted on these counts, which cover all documents.
-
-Defined results: a null or empty text has no spans. Equal rows give equal
-results. Ids may be null. An empty table gives an empty result; without
-proposals the classifier adds nothing.
+Votes and form make a pattern; there are few, whatever the corpus. Texts are
+searched once: what was found in each is kept in the shared folder as a few
+numbers, patterns are counted there, both models are fitted on these counts,
+which cover all documents, and the classifier decides on what was kept.
+
+Defined results: a null or empty text has no spans. Very long texts are searched
+whole, in time that grows with text and spans. Equal rows give equal results.
+Ids may be null. Other columns of any name stay as they are. An empty table
+gives an empty result; without proposals the classifier adds nothing.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import whole_text
+from .common import cut, fresh_name, whole_text
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that the method adds, in the order after the base ones.
@@ -66,6 +68,12 @@ def luhn(number: str) -> bool:
     return total % 10 == 0
 
 
+def is_byte(number: str) -> bool:
+    """Whether decimal digits, of any number, make at most 255."""
+    rest = number.lstrip("0")
+    return len(rest) < 3 or len(rest) == 3 and int(rest) <= 255
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     end, at = 0, text.find("@")
     while at >= 0:
@@ -85,7 +93,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if "@" in text:
         out += (("email", a, b) for a, b in emails(text))
     if "." in text:
-        out += (("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(x) <= 400 and int(x) <= 255 for x in m[0].split(".")))
+        out += (("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(map(is_byte, m[0].split("."))))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := digits(m[0])) <= 19 and luhn(d):
             out.append(("card", m.start(), m.end()))
@@ -106,6 +114,7 @@ _PROPOSE = {
     "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20(?P<v>[A-ZÀ-Þ][a-zß-ÿ]{1,30}(?:\x20[A-ZÀ-Þ][a-zß-ÿ]{1,30}){0,2})"),
 }
 _DIGIT_KINDS = ("secret", "iban", "ssn", "local_phone", "birth")
+_AT = re.compile(r"[\[(]\x20?at\x20?[\])]", re.I)
 _WANTED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\b")
 #: Words whose presence before a span speaks for it, by kind.
 CONTEXT = {
@@ -117,9 +126,22 @@ CONTEXT = {
     "masked_email": ("mail", "email", "e-mail", "contact", "write"),
     "name": ("name", "dear", "patient", "customer", "signed", "regards"),
 }
-#: Common given names; country codes of account numbers; usual ends of hosts.
-GIVEN = frozenset("james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah hans anna peter maria karl ursula jean marie pierre claire jose carmen luis ana antonio isabel".split())
-COUNTRIES = frozenset("AT BE CH CZ DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
+#: Common given names of the four languages; country codes of account numbers and
+#: the length that each has; usual ends of hosts. Parameters of the labelers.
+GIVEN = frozenset(
+    """
+james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen christopher lisa daniel nancy matthew betty anthony margaret mark sandra donald ashley steven emily paul donna andrew michelle joshua carol kenneth amanda kevin melissa brian deborah george stephanie timothy laura peter helen alice grace henry oliver emma sophie lucy jack harry charlotte
+hans anna maria karl ursula klaus monika wolfgang petra juergen sabine stefan andrea uwe martina frank gabriele bernd heike dieter renate günter birgit jürgen heinz ingrid manfred helga gerhard elke markus claudia lukas lena felix hannah jonas
+jean marie pierre claire michel nathalie alain isabelle philippe sylvie nicolas catherine christophe martine laurent christine françois sandrine julien camille antoine chloé louis manon jacques monique andré nicole rené hélène
+jose carmen luis ana antonio isabel manuel pilar francisco dolores javier teresa carlos cristina miguel lucía jesús marta pedro elena rafael rosa alejandro josé juan pablo sergio laura fernando paula
+""".split()
+)
+COUNTRIES = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29,
+    ES=24, FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20,
+    LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25,
+    QA=29, RO=24, RS=22, SA=24, SC=31, SE=24, SI=19, SK=24, SM=27, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
 HOST_ENDS = frozenset("com net org edu gov io de fr es uk eu".split())
 
 
@@ -148,7 +170,7 @@ def form_ok(kind: str, v: str) -> bool:
 def listed(kind: str, v: str, before: str) -> int:
     """The gazetteer labeler: 1 for, 0 against, -1 abstains."""
     if kind == "iban":
-        return int(v[:2] in COUNTRIES)
+        return int(COUNTRIES.get(v[:2]) == len(v.replace(" ", "")))
     if kind == "masked_email":
         return int(re.split(r"[^A-Za-z0-9]+", v.rstrip("])"))[-1].lower() in HOST_ENDS)
     if kind == "local_phone":
@@ -174,22 +196,68 @@ def quoted(v: str, before: str, after: str) -> int:
 PATTERN_SIZE = 4
 
 
+def merged(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what spans cover, in order, overlapping ones as one."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def proposals(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
-    """Spans beyond the base ones, with their patterns; none overlaps another."""
-    used = sorted((a, b) for _, a, b in taken)
+    """Spans beyond the base ones, with their patterns; none overlaps another.
+    What is taken is merged once for each kind and searched by halving."""
+    starts, ends = merged((a, b) for _, a, b in taken)
     digit = any(map(text.__contains__, "0123456789"))
     for kind, rx in _PROPOSE.items():
-        if (kind in _DIGIT_KINDS and not digit) or (kind == "masked_email" and "at" not in text) or (kind == "name" and not _WANTED.search(text)):
+        if (kind in _DIGIT_KINDS and not digit) or (kind == "masked_email" and not _AT.search(text)) or (kind == "name" and not _WANTED.search(text)):
             continue
+        new = []
         for m in rx.finditer(text):
             a, b = m.span("v")
             if kind == "secret" and m["v"].isdigit():
                 continue
-            if any(a < y and x < b for x, y in used):
+            at = bisect_left(starts, b)  # what begins before b, the last of it
+            if at and ends[at - 1] > a:
                 continue
             before, after = text[max(0, a - 40) : a], text[b : b + 8]
             yield kind, a, b, (int(form_ok(kind, m["v"])), listed(kind, m["v"], before), in_context(kind, before), quoted(m["v"], before, after))
-            used.append((a, b))
+            new.append((a, b))
+        if new:
+            starts, ends = merged([*zip(starts, ends, strict=True), *new])
+
+
+#: Numbers of a span as kept: kind, start and end; of a proposal also its
+#: pattern, whose votes are digits to the base 3.
+BASE_SIZE, MORE_SIZE = 3, 4
+
+
+def code_of(pattern: tuple[int, ...]) -> int:
+    return sum((v + 1) * 3**n for n, v in enumerate(pattern))
+
+
+def pattern_of(code: int) -> tuple[int, ...]:
+    return tuple(code // 3**n % 3 - 1 for n in range(PATTERN_SIZE))
+
+
+def searched(text: str) -> bytes:
+    """All base spans and proposals of a text: the number of the former, then
+    BASE_SIZE numbers for each, then MORE_SIZE for each of the others."""
+    base = base_spans(text)
+    more = [x for k, a, b, p in proposals(text, base) for x in (KINDS.index(k), a, b, code_of(p))]
+    return np.array([len(base), *(x for k, a, b in base for x in (KINDS.index(k), a, b)), *more], dtype="<i4").tobytes()
+
+
+def kept_parts(found: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The base spans and the proposals of searched(), a row each."""
+    x = np.frombuffer(found, dtype="<i4")
+    end = 1 + BASE_SIZE * int(x[0])
+    return x[1:end].reshape(-1, BASE_SIZE), x[end:].reshape(-1, MORE_SIZE)
 
 
 @dataclass
@@ -265,32 +333,54 @@ def train(counted: Iterable[tuple[str, tuple[int, ...], int]]) -> Model:
     return model
 
 
-def fit(docs: DataFrame) -> Model:
-    """The model of a corpus: one pass counts the patterns of all proposals."""
+def _search(text: str) -> Column:
+    """searched() of a column."""
+
+    @F.pandas_udf("binary")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([searched(t or "") for t in texts], dtype="object")
+
+    return found(F.col(text))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
 
-        seen: Counter = Counter()
+def fit(found: DataFrame) -> Model:
+    """The model of what was found (the column `found`): patterns of all
+    proposals are counted, by kind."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], int] = {}
         for b in batches:
-            for t in b.column(0):
-                text = t.as_py()
-                seen.update((k, *p) for k, _, _, p in proposals(text, base_spans(text)))
+            parts = [kept_parts(x.as_py())[1][:, [0, 3]] for x in b.column(0)]
+            if parts:
+                pairs, n = np.unique(np.concatenate(parts), axis=0, return_counts=True)
+                for (k, p), m in zip(pairs.tolist(), n.tolist(), strict=True):
+                    seen[k, p] = seen.get((k, p), 0) + m
         if seen:
-            kinds, *votes = zip(*seen, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(v, pa.int32()) for v in votes), pa.array(list(seen.values()), pa.int64())], names=["kind", "v0", "v1", "v2", "v3", "n"])
+            kinds, codes = zip(*seen, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(codes, pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["kind", "code", "n"])
+
+    rows = found.select("found").mapInArrow(count, "kind int, code int, n long")
+    counted = rows.groupBy("kind", "code").agg(F.sum("n").alias("n")).collect()  # 3**4 patterns for each kind at most
+    return train((KINDS[r.kind], pattern_of(r.code), r.n) for r in counted)
 
-    rows = docs.select(whole_text().alias("text")).mapInArrow(count, "kind string, v0 int, v1 int, v2 int, v3 int, n long")
-    counted = rows.groupBy("kind", "v0", "v1", "v2", "v3").agg(F.sum("n").alias("n")).collect()  # 3**4 patterns for each kind at most
-    return train((r.kind, (r.v0, r.v1, r.v2, r.v3), r.n) for r in counted)
+
+def decide(found: bytes, model: Model, threshold: float = THRESHOLD) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Base spans and all spans of what was found, by start and kind."""
+    base, more = kept_parts(found)
+    spans = [(a, k, b) for k, a, b in base.tolist()]
+    added = []
+    for k, a, b, code in more.tolist():
+        key = KINDS[k], pattern_of(code)
+        if (model.scores[key] if key in model.scores else model.score(*key)) >= threshold:
+            added.append((a, k, b))
+    in_order = lambda x: [(KINDS[k], a, b) for a, k, b in sorted(x)]
+    return in_order(spans), in_order(spans + added)
 
 
 def spans_of(text: str, model: Model, threshold: float = THRESHOLD) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and all spans of a text, by start and kind."""
-    base = base_spans(text)
-    more = [(k, a, b) for k, a, b, p in proposals(text, base) if (model.scores.get((k, p)) or model.score(k, p)) >= threshold]
-    order = lambda s: (s[1], KINDS.index(s[0]))
-    return sorted(base, key=order), sorted(base + more, key=order)
+    return decide(searched(text), model, threshold)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -309,7 +399,9 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 def find(docs: DataFrame, model: Model | None = None, threshold: float = THRESHOLD, with_text: bool = False) -> DataFrame:
     """Spans of every row: doc_id, counts of the base kinds, the base spans,
     all spans and their number; the text with all of them replaced, if asked."""
-    model = fit(docs) if model is None else model
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    kept = cut(texts.select("doc_id", *(["text"] if with_text else []), _search("text").alias("found")))
+    model = fit(kept) if model is None else model
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     names = ["doc_id", *(f"n_{k}" for k in BASE), "n_spans", "base_spans", "spans", *(["redacted"] if with_text else [])]
@@ -318,27 +410,29 @@ def find(docs: DataFrame, model: Model | None = None, threshold: float = THRESHO
         for b in batches:
             for part in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
                 rows = []
-                for t in part.column(1):
-                    base, every = spans_of(text := t.as_py(), model, threshold)
-                    rows.append((*(sum(s[0] == k for s in base) for k in BASE), len(every), joined(base), joined(every), *([redact(text, every)] if with_text else [])))
+                for n, x in enumerate(part.column(1)):
+                    base, every = decide(x.as_py(), model, threshold)
+                    rows.append((*(sum(s[0] == k for s in base) for k in BASE), len(every), joined(base), joined(every), *([redact(part.column(2)[n].as_py(), every)] if with_text else [])))
                 columns = [pa.array(c, pa.int64() if i < 5 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(id_type), *columns], names=names)
 
     schema = ", ".join([f"doc_id {kind.simpleString()}", *(f"{n} {'long' if n[:2] == 'n_' else 'string'}" for n in names[1:])])
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, schema)
+    return kept.select("doc_id", "found", *(["text"] if with_text else [])).mapInArrow(run, schema)
 
 
 def mask(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with every span in a text replaced by its kind; null texts stay
     null; n_chars, if there, follows the text; other columns as they are."""
-    model = fit(docs)
+    name = fresh_name(docs, "found")
+    kept = cut(docs.withColumn("text", F.col("text").cast("string")).withColumn(name, _search("text")))
+    model = fit(kept.select(F.col(name).alias("found")))
 
     @F.pandas_udf("string")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([None if t is None else redact(t, spans_of(t, model, threshold)[1]) for t in texts], dtype="object")
+    def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, found in batches:
+            yield pd.Series([None if t is None else redact(t, decide(x, model, threshold)[1]) for t, x in zip(texts, found, strict=True)], dtype="object")
 
-    out = docs.withColumn("text", clean(F.col("text").cast("string")))
+    out = kept.withColumn("text", clean("text", name))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.drop(name)
