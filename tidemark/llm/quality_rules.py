@@ -4,8 +4,11 @@ Every rule is a measure of a text and the range in which good texts lie. All
 measures are Spark expressions over the text alone, so the rules run in one
 pass beside the scan, without a shuffle and without user functions.
 
+The rule on stop words is a policy on languages: texts of 100 words or more have
+to hold some frequent words of English, German, French or Spanish.
+
 Defined results: a null or empty text has no words, fails the base rule and is
-not kept. Equal rows give equal results. An empty table gives an empty result.
+not kept. Very long texts are read whole. Equal rows give equal results. An empty table gives an empty result.
 Ratios of a text without words are null, and a rule on a null ratio passes; the
 base rule rejects such texts already.
 """
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import GAP, GAP_CHARS, whole_text, words
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"  # of the SQL
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
@@ -63,40 +66,59 @@ def bind(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def window_hashes(w: Column, size: int = WINDOW) -> Column:
+    """A hash of each window of `size` words: hashes of words are joined by
+    threes, so that a window takes a few steps, not a slice of its words."""
+
+    def joined(hashes: Column, near: int, far: int) -> Column:
+        return bind(hashes, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + near), F.get(h, i + far))))
+
+    out, length = F.transform(w, lambda x: F.xxhash64(x)), 1
+    while length < size:
+        new = min(3 * length, size)
+        out, length = joined(out, min(length, new - length), new - length), new
+    return F.slice(out, 1, F.greatest(F.size(w) - (size - 1), F.lit(0)))
+
+
+def neighbours_equal(s: Column, field: str) -> Column:
+    """Of sorted structs those that have the field of one beside them."""
+    same = lambda i, j: F.get(s, i)[field] == F.get(s, j)[field]
+    return F.filter(s, lambda x, k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
+
+
 def repeated_words(w: Column, size: int = WINDOW) -> Column:
     """Number of words that lie in a window of `size` words found twice or more
-    in the text. A text whose window hashes all differ has none; in others the
-    windows are sorted with their places; a window equal to a neighbour is
-    repeated; each adds the words up to the next such window."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))
-    windows = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.struct(F.array_join(F.slice(w, i, size), " ").alias("w"), i.alias("i")))
-    listed = F.sort_array(windows)
+    in the text. A text whose window hashes all differ has none. In others,
+    windows whose hash is repeated are written out and sorted with their places;
+    one equal to a neighbour is repeated; each adds the words up to the next."""
     n = F.size(w) - (size - 1)
 
+    def windows(h: Column) -> Column:
+        at = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), (i + 1).alias("i"))))
+        maybe = bind(at, lambda s: neighbours_equal(s, "h"))
+        return F.sort_array(F.transform(maybe, lambda x: F.struct(F.array_join(F.slice(w, x["i"], size), " ").alias("w"), x["i"].alias("i"))))
+
     def places(s: Column) -> Column:
-        same = lambda i, j: F.get(s, i)["w"] == F.get(s, j)["w"]
-        twice = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
-        return F.sort_array(F.transform(twice, lambda k: F.get(s, k)["i"]))
+        return F.sort_array(F.transform(neighbours_equal(s, "w"), lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         steps = F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(size)))
         return F.when(F.size(p) == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(size), lambda a, b: a + b))
 
-    counted = bind(listed, lambda s: bind(places(s), covered))
-    return F.when(n < 2, F.lit(0)).when(F.size(F.array_distinct(hashes)) == n, F.lit(0)).otherwise(counted).cast("long")
+    counted = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(bind(windows(h), lambda s: bind(places(s), covered)))
+    return F.when(n < 2, F.lit(0)).otherwise(bind(window_hashes(w, size), counted)).cast("long")
 
 
 def _counts(text: Column, w: Column, lines: Column) -> Column:
     n = lambda x: x.cast("long")
-    count_of = lambda chars: n(F.length(text) - F.length(F.translate(text, chars, "")))
     counts = {
         "n_words": n(F.size(w)),
-        "word_chars": n(F.length(F.translate(text, GAP_CHARS, ""))),
-        "n_symbols": count_of(SYMBOLS),
+        "word_chars": n(F.length(F.array_join(w, ""))),
+        "n_symbols": n(F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))),
         "n_dup_lines": n(F.size(lines) - F.size(F.array_distinct(lines))),
         "n_repeat_words": repeated_words(w),
-        "n_shouts": count_of("!"),
-        "n_upper": count_of(UPPER),
+        "n_shouts": n(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))),
+        "n_upper": n(F.regexp_count(text, F.lit("[A-Z]"))),
         "n_stop": n(F.size(F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(*STOP_WORDS)))),
         "n_bullets": n(F.size(F.filter(lines, lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•", "|")))),
         "n_lines": n(F.size(lines)),
@@ -134,7 +156,7 @@ def _verdict(m: Column, rules: tuple[Rule, ...]) -> Column:
 
 def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """All counts, measures and verdicts of a text, as one expression."""
-    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, GAP_CHARS, "")) > 0)
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(GAP_CHARS)) != "")
     parts = lambda t: F.struct(words(t).alias("w"), lines(t).alias("l"))
     return bind(text, lambda t: bind(parts(t), lambda p: bind(_counts(t, p["w"], p["l"]), lambda m: _verdict(m, rules))))
 
