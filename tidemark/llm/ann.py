@@ -5,7 +5,8 @@ query visits leaves best bin first: a priority queue holds tree nodes by the
 distance of their centres, the nearest is opened next. How many leaves are
 visited is calibrated: for a bounded set of queries the exact neighbours are
 found by brute force, in blocks over all rows, and visits are widened until the
-wanted share of these neighbours lies in visited leaves.
+wanted share of these neighbours lies in visited leaves. A query whose leaves
+hold too few other ids goes on in the same order.
 
 Leaves are searched in blocks: a leaf with many vectors, or many visiting
 queries, is dealt to as many tasks as keep a block within BLOCK_ROWS on either
@@ -13,7 +14,9 @@ side. Each block returns the best few of each query, whose merge is exact.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor those whose length is not the most frequent one
-(the larger of equally frequent ones), nor rows without an id. Equal rows are
+(the larger of equally frequent ones), nor rows without an id. Other columns, of
+any name, are not looked at. Beyond MAX_LEAVES * LEAF_ROWS vectors leaves grow,
+and with them the cost of a query. Equal rows are
 candidates of their own; a query is no candidate of the rows with its id. Equal
 scores go to the smaller id. An empty table gives an empty result.
 """
@@ -109,14 +112,16 @@ def leaves_of(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def visits(tree: Tree, query: np.ndarray, most: int) -> list[int]:
-    """Leaves in the order of a best-bin-first search for a unit vector."""
-    queue, out = [(0.0, 0)], []
-    while queue and len(out) < most:
+def visits(tree: Tree, query: np.ndarray, most: int, held: list[int] | None = None, least: int = 0) -> list[int]:
+    """Leaves in the order of a best-bin-first search for a unit vector: `most`
+    of them, and on until they hold `least` ids, by what each leaf holds."""
+    queue, out, found = [(0.0, 0)], [], 0
+    while queue and (len(out) < most or found < least):
         _, node = heapq.heappop(queue)
         kids = tree.children[node]
         if not kids:
             out.append(tree.leaf_of[node])
+            found += held[out[-1]] if held else 0
             continue
         far = ((np.array([tree.centres[c] for c in kids]) - query) ** 2).sum(1)
         for d, c in zip(far.tolist(), kids, strict=True):
@@ -214,16 +219,19 @@ def search(vectors: DataFrame, every: int = 50, k: int = NEIGHBOURS, recall: flo
     else:
         most = tree.leaves
     most = max(most, min(2, tree.leaves))
+    # At most MAX_LEAVES rows.
+    counted = {r["leaf"]: r for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("vec_id").alias("ids")).collect()}
+    held = [counted[leaf]["ids"] if leaf in counted else 0 for leaf in range(tree.leaves)]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, x in enumerate(unit(matrix(b.column(1)))) if b.num_rows else ():
-                to = visits(tree, x, most)
+                to = visits(tree, x, most, held, k + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), b.column(0)[i].as_py())), pa.array(to, pa.int64())], names=["query_id", "leaf"])
 
     visited = cut(queries.select("vec_id", "embedding").mapInArrow(visit, "query_id long, leaf long"))
-    # At most MAX_LEAVES rows each.
-    rows_in = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
+    rows_in = {leaf: r["rows"] for leaf, r in counted.items()}
+    # At most MAX_LEAVES rows.
     asked_of = {r["leaf"]: r["count"] for r in visited.groupBy("leaf").count().collect()}
     blocks = [(leaf, -(-rows_in.get(leaf, 0) // BLOCK_ROWS), -(-asked_of.get(leaf, 0) // BLOCK_ROWS)) for leaf in range(tree.leaves)]
     sizes = spark.createDataFrame([(a, max(1, b), max(1, c)) for a, b, c in blocks], "leaf long, row_blocks int, query_blocks int")
