@@ -229,3 +229,119 @@ def test_many_series(spark, engine):
     assert t.scan(tags={"host": wanted}).count() == 3600
     assert t.scan(tags={"host": [w.upper() for w in wanted]}, collation="UTF8_LCASE").count() == 3600
     assert t.scan(series=spark.createDataFrame([("h1", "dc1"), ("h2", "dc9")], "host string, dc string")).count() == 4
+
+
+def test_open_batches_are_left_alone(spark, engine):
+    t = engine.create("l", T.StructType([SCHEMA["ts"], T.StructField("v", T.IntegerType())]))
+    one = spark.createDataFrame([(datetime(2024, 1, 1), 1)], t.schema).coalesce(1)
+    t.append(one)
+    with t.batch() as b:
+        b.write(one)
+        assert maintenance.recover(t)["orphans"] == 0 and maintenance.vacuum(t) == 0
+    assert t.count() == t.df().count() == 2 and not t.store.list("_leases")
+    b = t.batch().__enter__()
+    b.write(one)
+    b.abort()
+    assert maintenance.vacuum(t) == 1 and t.df().count() == 2
+    b = t.batch().__enter__()
+    b.write(one)
+    assert maintenance.vacuum(t, lease_age=0) == 1  # a writer that is gone
+    with pytest.raises(CorruptError):
+        b.commit()
+    assert t.df().count() == 2
+
+
+def test_a_batch_id_is_published_once(spark, engine):
+    t = engine.create("o", T.StructType([SCHEMA["ts"], T.StructField("v", T.IntegerType())]))
+    one = spark.createDataFrame([(datetime(2024, 1, 1), 1)], t.schema)
+    staged = [t._staged(one) for _ in range(2)]  # two writers pass the first check
+    for entries in staged:
+        t._publish(entries, "s:7")
+    assert t.count() == 1
+    t.append(one, "s:8")
+    t.append(one, "other")
+    t.append(one, "s:6")
+    t.append(one, "s:8")
+    assert t.count() == 3 and t.snapshot().batches == ("s:8", "other")
+
+
+def test_compaction_whose_inputs_are_gone(spark, engine, monkeypatch):
+    t = engine.create("g", T.StructType([SCHEMA["ts"], T.StructField("v", T.IntegerType())]))
+    for _ in range(2):
+        t.append(spark.createDataFrame([(datetime(2024, 1, 1), 1)], t.schema))
+        t.flush(NOW)
+    seal = t.seal
+    monkeypatch.setattr(t, "seal", lambda files, now: (seal(files, now), t.truncate())[0])
+    assert maintenance.compact(t, now=NOW) == 0 and t.count() == 0
+    version = t.version
+    assert maintenance.compact(t, now=NOW) == 0 and t.version == version
+
+
+def test_versions_hold_changes(spark, engine):
+    from tidemark.sources.manifest import Manifest, Versions
+
+    t = engine.create("d", T.StructType([SCHEMA["ts"], T.StructField("v", T.IntegerType())]))
+    one = spark.createDataFrame([(datetime(2024, 1, 1), 1)], t.schema)
+    t.append(one, "a:1")
+    t.flush(NOW)
+    entry = t.snapshot().files[0]
+    from dataclasses import replace
+
+    for n in range(40):  # files come and go
+        t.commit(lambda m, n=n: {"files": (*m.files[1:], replace(entry, id=m.next_id, path=f"data/x{n}"), replace(entry, id=m.next_id + 1, path=f"data/y{n}")), "next_id": m.next_id + 2, "epoch": n // 9})
+    last = t.snapshot()
+    fresh = Versions(t.store)
+    assert fresh.read() == last and fresh.read(5).epoch == 0 and len(fresh.read(30).files) == 29
+    sizes = [len(t.store.read(f"_manifest/v{n:09d}.json")) for n in (32, 41)]
+    assert sizes[1] < sizes[0] / 4 and Manifest.loads(last.dumps()) == last
+    maintenance.vacuum(t, keep_versions=3)
+    assert Versions(t.store).read() == last and min(t.versions.numbers()) == 32
+
+
+def test_series_are_kept(spark, engine, tmp_path):
+    t = engine.create("s", T.StructType([SCHEMA["ts"], tag("host"), T.StructField("v", T.IntegerType())]))
+    row = lambda h, m: (datetime(2024, 1, 1, 0, m), h, m)
+    ids = lambda: {r.host: r.series_id for r in t.series().collect()}
+    t.append(spark.createDataFrame([row("b", 1)], t.schema).coalesce(1))
+    t.append(spark.createDataFrame([row("z", 2), row("b", 3)], t.schema).coalesce(1))
+    first = ids()
+    assert first == {"b": 0, "z": 1} and t.series_count() == 2
+    t.flush(NOW)
+    t.append(spark.createDataFrame([row("a", 4), row(None, 5)], t.schema).coalesce(1))
+    now = ids()
+    assert {h: now[h] for h in first} == first and sorted(now.values()) == [0, 1, 2, 3]
+    t.flush(NOW)
+    maintenance.compact(t, now=NOW)
+    assert ids() == now and t.scan(tags={"host": "A"}, collation="UTF8_LCASE").count() == 1
+    steps = t.store.list("_series")
+    assert ids() == now and t.store.list("_series") == steps  # up to date: nothing is written
+    t.truncate()
+    assert ids() == {} and t.series_count() == 0
+
+
+def test_settings_act(spark, engine):
+    schema = T.StructType([SCHEMA["ts"], tag("host"), T.StructField("v", T.StringType())])
+    t = engine.create("f", schema, {"MEMTABLE_SIZE": 1 << 20})
+    row = lambda n: [(datetime(2024, 1, 1), "h", "x" * 1000)] * n
+    t.append(spark.createDataFrame(row(500), schema))
+    assert len(t.snapshot().pending) and not t.snapshot().sealed
+    t.append(spark.createDataFrame(row(700), schema))
+    assert not t.snapshot().pending and t.count() == 1200
+    engine.config.set("compaction_trigger_chunks", 2)
+    engine.config.set("bloom_filter_false_positive_rate", 0.2)
+    assert engine.open("f").bloom_rate == 0.2
+    t.append(spark.createDataFrame(row(1), schema))
+    t.flush()
+    engine.create("broken", schema).append(spark.createDataFrame(row(1), schema))
+    s = maintenance.Scheduler(lambda: {"broken": None, "f": engine.open("f")}, 1, engine.config.compaction_trigger_chunks)
+    assert s.round() == {"f": {"compacted": 1, "dropped": 0}} and set(s.errors) == {"broken"}
+
+
+def test_files_are_bounded_by_bytes(spark, engine, monkeypatch):
+    from tidemark.sources import table
+
+    monkeypatch.setattr(table, "MAX_FILE_BYTES", 4000)
+    t = engine.create("z", T.StructType([SCHEMA["ts"], T.StructField("v", T.StringType())]))
+    t.append(spark.createDataFrame([(datetime(2024, 1, 1, 0, i % 60), "y" * 88) for i in range(200)], t.schema))
+    t.flush(NOW)
+    assert len(t.snapshot().sealed) >= 5 and all(f.data_bytes <= 4000 for f in t.snapshot().sealed) and t.df().count() == 200

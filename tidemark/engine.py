@@ -56,11 +56,11 @@ class Engine:
             definition = TableDef(definition, options or {})
         if temporary:
             self.temporary[name] = f"{tempfile.gettempdir() if re.match(r'local(\[|$)', self.spark.sparkContext.master) else self.root}/.tmp-{uuid.uuid4().hex}/{name}"
-        return Table.create(self.spark, self._path(name), definition)
+        return Table.create(self.spark, self._path(name), definition, self.config.bloom_filter_false_positive_rate)
 
     def open(self, name: str) -> Table:
         """The table; an error if a listed file is missing."""
-        t = Table(self.spark, self._path(name))
+        t = Table(self.spark, self._path(name), self.config.bloom_filter_false_positive_rate)
         t.verify_files()
         return t
 
@@ -145,7 +145,7 @@ class Engine:
     def start_maintenance(self) -> None:
         """Background rounds; never started by itself. An interval of 0 is off."""
         if self.config.retention_check_interval and self.scheduler is None:
-            self.scheduler = maintenance.Scheduler(lambda: [self.open(n) for n in self.names()], self.config.retention_check_interval)
+            self.scheduler = maintenance.Scheduler(lambda: {n: self.open(n) for n in self.names()}, self.config.retention_check_interval, self.config.compaction_trigger_chunks)
             self.scheduler.start()
 
     def stop_maintenance(self) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -28,5 +28,10 @@ def series_index(rows: DataFrame, tags: list[str], arrival: list[str | Column])
     return seen.select(*tags, (F.row_number().over(Window.orderBy("__first", *tags)) - 1).cast("long").alias("series_id"))
 
 
+def by_id() -> WindowSpec:
+    """New series in the order of their arrival; one row for each."""
+    return Window.orderBy("series_id")
+
+
 def series_ranges(rows: DataFrame, tags: list[str], ts: str) -> DataFrame:
     return rows.groupBy(*tags).agg(F.count(F.lit(1)).alias("rows"), F.min(ts).alias("ts_min"), F.max(ts).alias("ts_max"))

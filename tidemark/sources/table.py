@@ -9,6 +9,7 @@ files and rows by arrival; folder names are made so that path order is that.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Iterator
@@ -28,7 +29,10 @@ from .manifest import FileEntry, Manifest, Store, Versions
 from .schema import TableDef
 
 DATA = "data"
-MAX_RECORDS = 1 << 27
+#: Rows and plain bytes of a file at most; of pending files, whose rows are not
+#: measured yet, so many rows.
+MAX_RECORDS, MAX_FILE_BYTES, PENDING_RECORDS = 1 << 27, 128 << 20, 1 << 20
+LEASES, SERIES = "_leases", "_series"
 RETRIES = 16
 SOURCE, ORDINAL = "__source", "__ordinal"
 
@@ -55,19 +59,19 @@ def value_bytes(f: T.StructField) -> Column:
 
 
 class Table:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, bloom_rate: float = 0.01) -> None:
+        self.spark, self.store, self.bloom_rate = spark, Store(spark, root), bloom_rate
         self.versions = Versions(self.store)
         self.definition = TableDef.from_json(self.versions.read().definition)
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, definition: TableDef) -> Table:
+    def create(cls, spark: SparkSession, root: str, definition: TableDef, bloom_rate: float = 0.01) -> Table:
         store = Store(spark, root)
         if store.list(""):
             raise InvalidArgError("the table's folder is not empty")
         if not store.create(f"{Versions.FOLDER}/v{0:09d}.json", Manifest(0, definition.to_json()).dumps()):
             raise ConflictError("the table exists")
-        return cls(spark, root)
+        return cls(spark, root, bloom_rate)
 
     # --- what the definition gives
 
@@ -116,21 +120,34 @@ class Table:
         return df.select(*out)
 
     def _folder(self, sealed: bool, at: int) -> str:
-        return f"{DATA}/{'a' if sealed else 'p'}{at:012d}-{uuid.uuid4().hex[:8]}"
-
-    def _write(self, df: DataFrame, folder: str, codec: str, by_bucket: bool = False) -> list[FileEntry]:
-        out = df.write.option("compression", PARQUET[codec]).option("maxRecordsPerFile", MAX_RECORDS)
+        """A new folder for files, held by a lease until they are committed:
+        vacuum leaves folders with a lease alone."""
+        name = f"{'a' if sealed else 'p'}{at:012d}-{uuid.uuid4().hex[:8]}"
+        self.store.create(f"{LEASES}/{name}", str(now_us()))
+        return f"{DATA}/{name}"
+
+    def release(self, entries: list[FileEntry]) -> None:
+        for name in {e.path.split("/")[1] for e in entries}:
+            self.store.delete(f"{LEASES}/{name}")
+
+    def _write(self, df: DataFrame, folder: str, codec: str, by_bucket: bool = False, records: int = PENDING_RECORDS) -> list[FileEntry]:
+        out = df.write.option("compression", PARQUET[codec]).option("maxRecordsPerFile", records)
         if codec == "ZSTD":
             out = out.option("parquet.compression.codec.zstd.level", str(self.definition.codecs.level))
         for t in self.tags:
             if isinstance(self.schema[t].dataType, T.StringType):
-                out = out.option(f"parquet.bloom.filter.enabled#{t}", "true")
-        (out.partitionBy("__bucket") if by_bucket else out).parquet(f"{self.store.root}/{folder}")
-        return self._entries(folder, codec, by_bucket)
+                out = out.option(f"parquet.bloom.filter.enabled#{t}", "true").option(f"parquet.bloom.filter.fpp#{t}", str(self.bloom_rate))
+        try:
+            (out.partitionBy("__bucket") if by_bucket else out).parquet(f"{self.store.root}/{folder}")
+            return self._entries(folder, codec, by_bucket)
+        except Exception:
+            self.store.delete(f"{LEASES}/{folder.rsplit('/', 1)[-1]}")
+            raise
 
     def _entries(self, folder: str, codec: str, sealed: bool) -> list[FileEntry]:
         """One entry for each file of a folder, from its time and tag columns."""
-        files = sorted(self.store.walk(folder))
+        sizes = self.store.walk(folder)
+        files = sorted(sizes)
         if not files:
             return []
         rows = self._read(files, meta=True)
@@ -152,7 +169,7 @@ class Table:
             if r["bad"]:
                 raise InvalidArgError("a row violates a CHECK constraint")
             i = self.definition.interval
-            out.append(FileEntry(0, p, sealed, r["rows"], r["series"], r["lo"], r["hi"], self.store.size(p), codec, int(r["size"]), i.start(r["lo"]) if sealed else None, i.end(r["lo"]) if sealed else None, checksum=sums[data_name(p)]))
+            out.append(FileEntry(0, p, sealed, r["rows"], r["series"], r["lo"], r["hi"], sizes[p], codec, int(r["size"]), i.start(r["lo"]) if sealed else None, i.end(r["lo"]) if sealed else None, checksum=sums[data_name(p)]))
         return out
 
     def checksums(self, files: list[str]) -> dict[str, int]:
@@ -164,11 +181,14 @@ class Table:
 
     def commit(self, change, retries: int = RETRIES) -> Manifest:
         """Commits change(manifest) -> changed fields; tried again when another
-        writer was first."""
+        writer was first. Without changes (None) nothing is committed."""
         for _ in range(retries):
             old = self.snapshot()
+            changes = change(old)
+            if changes is None:
+                return old
             try:
-                return self.versions.commit(old, **change(old))
+                return self.versions.commit(old, **changes)
             except ConflictError:
                 continue
         raise ConflictError("other writers kept committing first")
@@ -178,27 +198,50 @@ class Table:
         return self._write(self.conform(df), self._folder(False, at), self.definition.codecs.of(True))
 
     def _publish(self, entries: list[FileEntry], batch_id: str | None, epoch: int | None = None) -> Manifest:
-        def change(m: Manifest) -> dict:
+        """Lists staged files, which must still be there. A batch id that another
+        writer has committed meanwhile is passed over, and its files dropped."""
+        self._must_exist(entries)
+
+        def change(m: Manifest) -> dict | None:
+            if batch_id and m.has_batch(batch_id):
+                return None
             if epoch is not None and m.epoch != epoch:
                 raise InvalidArgError("the table was truncated while the batch was open")
             new = tuple(replace(e, id=m.next_id + n) for n, e in enumerate(entries))
-            return {"files": m.files + new, "next_id": m.next_id + len(new), "batches": m.batches + ((batch_id,) if batch_id else ())}
+            return {"files": m.files + new, "next_id": m.next_id + len(new), "batches": m.with_batch(batch_id)}
+
+        out = self.commit(change)
+        self.release(entries)
+        return out
+
+    def _must_exist(self, entries: list[FileEntry]) -> None:
+        lost = [e for e in entries if not self.store.exists(e.path)]
+        if lost:
+            raise CorruptError(f"{len(lost)} staged files are missing")
 
-        return self.commit(change)
+    def flush_if_full(self) -> Manifest:
+        """Flushes once pending rows reach MEMTABLE_SIZE, in plain bytes."""
+        m = self.snapshot()
+        return self.flush() if sum(f.data_bytes for f in m.pending) >= self.definition.memtable_size else m
 
     def append(self, df: DataFrame, batch_id: str | None = None) -> Manifest:
         """Adds all rows, or none if one is refused. A batch id that was
         committed before is passed over."""
         m = self.snapshot()
-        if batch_id and batch_id in m.batches:
+        if batch_id and m.has_batch(batch_id):
             return m
-        return self._publish(self._staged(df), batch_id)
+        self._publish(self._staged(df), batch_id)
+        return self.flush_if_full()
 
     @contextmanager
     def batch(self) -> Iterator[Batch]:
         """Several writes that become visible at once; an error drops them all."""
         b = Batch(self)
-        yield b
+        try:
+            yield b
+        except Exception:
+            b.abort()
+            raise
         b.commit()
 
     def truncate(self) -> Manifest:
@@ -227,6 +270,7 @@ class Table:
         if not taken:
             return old
         entries = self.seal(taken, now)
+        self._must_exist(entries)
 
         def change(m: Manifest) -> dict:
             if not {f.path for f in taken} <= {f.path for f in m.files}:
@@ -235,7 +279,9 @@ class Table:
             new = tuple(replace(e, id=m.next_id + n) for n, e in enumerate(entries))
             return {"files": tuple(f for f in m.files if f.path not in gone) + new, "next_id": m.next_id + len(new)}
 
-        return self.commit(change)
+        out = self.commit(change)
+        self.release(entries)
+        return out
 
     def seal(self, files: list[FileEntry], now: int) -> list[FileEntry]:
         """Chunks of the rows of files, sorted by series and time, ties by
@@ -248,11 +294,13 @@ class Table:
         line = self.definition.hot_threshold.before(now)
         edge = i.start(line) if line >= FIRST_US else lo
         rows = self._read([f.path for f in files], meta=True).withColumn("__us", buckets.bucket_start_us(self.micros(), i))
+        width = sum(f.data_bytes for f in files) / max(1, sum(f.rows for f in files))
+        records = max(1, min(MAX_RECORDS, int(MAX_FILE_BYTES / max(width, 1))))
         parts = [(F.col("__us") < edge, False)] * (lo < edge) + [(F.col("__us") >= edge, True)] * (hi >= edge)
         for where, is_it in parts:
             order = ["__us", *self.tags, self.ts]
             sorted_rows = rows.where(where).withColumn("__bucket", buckets.compact_name(F.col("__us"))).repartitionByRange(*order).sortWithinPartitions(*order, SOURCE, ORDINAL)
-            entries = self._write(sorted_rows.drop("__us", SOURCE, ORDINAL), self._folder(True, self.snapshot().next_id), self.definition.codecs.of(is_it), by_bucket=True)
+            entries = self._write(sorted_rows.drop("__us", SOURCE, ORDINAL), self._folder(True, self.snapshot().next_id), self.definition.codecs.of(is_it), by_bucket=True, records=records)
             out += [replace(e, sealed_at=now) for e in entries]
         return sorted(out, key=lambda e: (e.start, e.path))
 
@@ -371,15 +419,62 @@ class Table:
         """Number of rows, from the manifest."""
         return sum(f.rows for f in self.snapshot(version).files)
 
-    def series(self, version: int | None = None) -> DataFrame:
-        """Every series with its id, by first arrival: files by id, rows by
-        place."""
-        rows = self.scan(version=version, positions=True)
+    def _arrivals(self, files: list[FileEntry]) -> DataFrame:
+        """Every series of these files with its id, by first arrival: files by
+        path, rows by place."""
+        rows = self._read([f.path for f in files], meta=True)
         return S.series_index(rows.withColumn("__path", F.regexp_extract(SOURCE, rf".*/{DATA}/(.*)$", 1)), self.tags, ["__path", ORDINAL])
 
+    def _dimension(self) -> dict:
+        """The kept series dimension of this epoch, brought up to date: only
+        files that came after the last time are read, for their tags, and series
+        not known yet get the next ids. Each step is a folder, made known by one
+        exclusive file; a writer that comes second takes the first one's."""
+        m = self.snapshot()
+        steps = sorted(n for n in self.store.list(SERIES) if n.startswith(f"e{m.epoch:06d}-") and n.endswith(".json"))
+        last = json.loads(self.store.read(f"{SERIES}/{steps[-1]}")) if steps else {"upto": 0, "count": 0, "paths": []}
+        new = [f for f in m.files if f.id > last["upto"]]
+        if not new:
+            return last
+        upto, found = max(f.id for f in new), self._arrivals(new)
+        if last["paths"]:
+            known = self._known(last)
+            found = found.join(known, S.same_series(found, known, self.tags), "left_anti")
+            found = found.withColumn("series_id", (F.row_number().over(S.by_id()) - 1 + last["count"]).cast("long"))
+        path = f"{SERIES}/{uuid.uuid4().hex}"
+        found.coalesce(1).write.parquet(f"{self.store.root}/{path}")
+        count = self.spark.read.parquet(f"{self.store.root}/{path}").count()
+        now = {"upto": upto, "count": last["count"] + count, "paths": [*last["paths"], path] if count else last["paths"]}
+        if not self.store.create(f"{SERIES}/e{m.epoch:06d}-{upto:012d}.json", json.dumps(now)):
+            return json.loads(self.store.read(f"{SERIES}/e{m.epoch:06d}-{upto:012d}.json"))
+        return now
+
+    def _known(self, dimension: dict) -> DataFrame:
+        kept = T.StructType([*(T.StructField(t, self.schema[t].dataType, True) for t in self.tags), T.StructField("series_id", T.LongType())])
+        if not dimension["paths"]:
+            return self.spark.createDataFrame([], kept)
+        return self.spark.read.schema(kept).parquet(*[f"{self.store.root}/{p}" for p in dimension["paths"]])
+
+    def series(self, version: int | None = None) -> DataFrame:
+        """Every series with its id, by first arrival. Of the last version from
+        the kept dimension, whose ids stay through flush and compaction until the
+        table is truncated; of others from their files."""
+        if not self.tags:
+            return S.series_index(self.scan(version=version, positions=True), [], [ORDINAL])
+        if version is not None and version != self.version:
+            return self._arrivals(list(self.snapshot(version).files))
+        return self._known(self._dimension())
+
+    def series_count(self) -> int:
+        """Number of series, without a scan if the dimension is up to date."""
+        if not self.tags:
+            return int(bool(self.snapshot().files))
+        return self._dimension()["count"]
+
     def verify_files(self, version: int | None = None) -> None:
-        """An error if a listed file is missing."""
-        lost = [f for f in self.snapshot(version).files if not self.store.exists(f.path)]
+        """An error if a listed file is missing; one listing."""
+        there = self.store.walk(DATA)
+        lost = [f for f in self.snapshot(version).files if f.path not in there]
         if lost:
             raise CorruptError(f"{len(lost)} listed files are missing")
 
@@ -400,6 +495,8 @@ class Batch:
             self.open = False
             if self.entries:
                 self.table._publish(self.entries, None, self.epoch)
+                self.table.flush_if_full()
 
     def abort(self) -> None:
+        self.table.release(self.entries)
         self.open, self.entries = False, []
