@@ -106,19 +106,22 @@ class Engine:
     def alter(self, name: str, definition: TableDef, select: list[str] | None = None) -> Table:
         """A table of another definition takes the name; its rows are copied,
         through the given expressions if any."""
-        rows = self.open(name).df()
+        rows = self.open(name).df(invisible=True)
         own = f"alter_{uuid.uuid4().hex}"
         self.create_as(own, definition, rows.selectExpr(*select) if select else rows)
         self.swap(name, own)
         self.drop(own)
         return self.open(name)
 
+    #: Times are written and read to the microsecond.
+    TIMES = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]"}
+
     def load_csv(self, name: str, path: str, sep: str = "\t", header: bool = False) -> None:
         t = self.open(name)
-        t.append(self.spark.read.schema(t.schema).option("sep", sep).option("header", header).option("nullValue", "\\N").option("mode", "FAILFAST").csv(path))
+        t.append(self.spark.read.schema(t.schema).option("sep", sep).option("header", header).option("nullValue", "\\N").option("mode", "FAILFAST").options(**self.TIMES).csv(path))
 
     def export_csv(self, rows: DataFrame, path: str, sep: str = "\t") -> None:
-        rows.write.option("sep", sep).option("nullValue", "\\N").csv(path)
+        rows.write.option("sep", sep).option("nullValue", "\\N").options(**self.TIMES).csv(path)
 
     def names(self) -> list[str]:
         """Lasting tables."""

@@ -9,13 +9,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.buckets import bucket_end, bucket_start, micros
-from ..functions.periods import Retention, parse_bound
+from ..engine import Engine
+from ..errors import EngineError
+from ..functions.periods import ChunkInterval, Period, Retention, add_months, format_compact, from_us, is_hot, parse_bound
 from ..operators import inspect, maintenance, recipes
 from ..operators import series as series_ops
 from ..operators.tagfilter import collated_predicate, resolve_series, tag_predicate
@@ -98,21 +102,19 @@ _PROBES = ["2023-12-01 00:00:00", "2024-01-01 12:00:00", "2024-01-10 06:30:00",
 _PROBE_SQL = " UNION ALL ".join(f"SELECT TIMESTAMP '{p}' AS probe" for p in _PROBES)
 
 
-def _lookup(name: str, side: str, best: str) -> None:
+def _lookup(name: str, side: str, best: str, mode: str) -> None:
     @query(f"SELECT probe, (SELECT {best}(ts) FROM events WHERE ts {side} probe) AS found FROM ({_PROBE_SQL})", name)
     def run(spark, sf):
-        # One aggregate for all probes: a conditional extreme each, one scan.
-        e = read(spark, sf, "events")
-        test = {"<=": lambda p: F.col("ts") <= p, ">=": lambda p: F.col("ts") >= p, "<": lambda p: F.col("ts") < p, ">": lambda p: F.col("ts") > p}[side]
-        pick = F.max if best == "max" else F.min
-        one = e.agg(F.array(*(F.struct(ts(p).alias("probe"), pick(F.when(test(ts(p)), F.col("ts"))).alias("found")) for p in _PROBES)).alias("x"))
-        return one.select(F.explode("x").alias("x")).select("x.probe", "x.found")
+        # Each probe reads the files that may hold its row.
+        t = _sealed(spark, sf)
+        found = [t.lookup(p, mode).select("ts").limit(1).agg(F.max("ts").alias("found")).select(ts(p).alias("probe"), "found") for p in _PROBES]
+        return reduce(DataFrame.unionByName, found)
 
 
-_lookup("ts_floor_lookup", "<=", "max")
-_lookup("ts_ceil_lookup", ">=", "min")
-_lookup("ts_before_lookup", "<", "max")
-_lookup("ts_after_lookup", ">", "min")
+_lookup("ts_floor_lookup", "<=", "max", "KEY_OR_PREV")
+_lookup("ts_ceil_lookup", ">=", "min", "KEY_OR_NEXT")
+_lookup("ts_before_lookup", "<", "max", "BEFORE_KEY")
+_lookup("ts_after_lookup", ">", "min", "AFTER_KEY")
 
 
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
@@ -183,9 +185,9 @@ def series_ranges(spark, sf):
 
 @query("SELECT count(*) AS n FROM events WHERE (event_type, user_id) IN (SELECT event_type, user_id FROM events GROUP BY event_type, user_id HAVING count(*) >= 15)")
 def series_filter(spark, sf):
-    e = read(spark, sf, "events").select(*TAGS)
-    busy = e.groupBy(*TAGS).count().where("count >= 15").select(*TAGS)
-    return e.join(busy, TAGS, "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    t = _sealed(spark, sf)
+    busy = t.df().groupBy(*TAGS).count().where("count >= 15").select(*TAGS)
+    return t.scan(series=busy).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- buckets and calendar
@@ -233,47 +235,66 @@ def orders_monthly_by_priority(spark, sf):
 _CHUNKS = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, count(*) AS n, count(DISTINCT (event_type, user_id)) AS series, min(ts) AS ts_min, max(ts) AS ts_max FROM events GROUP BY 1"
 
 
-def _chunks(spark, sf) -> DataFrame:
-    return _QUERIES["bucket_1_day"](spark, sf)
-
-
 @query(_CHUNKS)
 def chunk_catalog(spark, sf):
-    return _chunks(spark, sf)
+    found = inspect.chunks_view({"t": _sealed(spark, sf)}, parse_bound(NOW))
+    return found.select(F.col("bucket_start").alias("bucket"), F.col("row_count").alias("n"), "series", "ts_min", "ts_max")
 
 
-def _cutoff(period: str):
-    return F.timestamp_add("MICROSECOND", F.lit(Retention.parse(period).cutoff(parse_bound(NOW))), ts("1970-01-01 00:00:00"))
+def _with_retention(spark, sf, period: str, sealed_at: str = NOW) -> Table:
+    t = _scratch(spark, {"CHUNK_INTERVAL": "1 DAY", "RETENTION_PERIOD": period})
+    t.append(_events(spark, sf))
+    t.flush(parse_bound(sealed_at))
+    return t
 
 
 @query(f"SELECT bucket, n FROM ({_CHUNKS}) WHERE ts_max < TIMESTAMP '{NOW}' - INTERVAL '15 days'")
 def retention_dropped(spark, sf):
-    return _chunks(spark, sf).where(F.col("ts_max") < _cutoff("15 DAYS")).select("bucket", "n")
+    t, now = _with_retention(spark, sf, "15 DAYS"), parse_bound(NOW)
+    before = inspect.chunks_view({"t": t}, now)
+    maintenance.apply_retention(t, now)
+    gone = before.join(inspect.chunks_view({"t": t}, now), "chunk_id", "left_anti")
+    return gone.where("status = 'EXPIRED'").select(F.col("bucket_start").alias("bucket"), F.col("row_count").alias("n"))
 
 
 @query(f"SELECT bucket, n FROM ({_CHUNKS}) WHERE ts_max >= TIMESTAMP '{NOW}' - INTERVAL '15 days'")
 def retention_kept(spark, sf):
-    return _chunks(spark, sf).where(F.col("ts_max") >= _cutoff("15 DAYS")).select("bucket", "n")
+    t, now = _with_retention(spark, sf, "15 DAYS"), parse_bound(NOW)
+    maintenance.run_maintenance(t, now)
+    return t.df().groupBy(bucket_start(F.col("ts"), "1 DAY").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT bucket, CASE WHEN ts_max < TIMESTAMP '{NOW}' - INTERVAL '21 days' THEN 'EXPIRED' WHEN bucket + INTERVAL '1 day' > TIMESTAMP '{NOW}' - INTERVAL '7 days' THEN 'HOT' WHEN n % 2 = 0 THEN 'COLD' ELSE 'WARM' END AS status FROM ({_CHUNKS})")
+# Sealed on the 20th, chunks that ended by the 13th are cold then.
+@query(f"SELECT bucket, CASE WHEN ts_max < TIMESTAMP '{NOW}' - INTERVAL '21 days' THEN 'EXPIRED' WHEN bucket + INTERVAL '1 day' > TIMESTAMP '{NOW}' - INTERVAL '7 days' THEN 'HOT' WHEN bucket + INTERVAL '1 day' <= TIMESTAMP '{HI}' - INTERVAL '7 days' THEN 'COLD' ELSE 'WARM' END AS status FROM ({_CHUNKS})")
 def chunk_status(spark, sf):
-    end = F.timestamp_add("DAY", F.lit(1), F.col("bucket"))
-    status = F.when(F.col("ts_max") < _cutoff("21 DAYS"), "EXPIRED").when(end > _cutoff("7 DAYS"), "HOT").when(F.col("n") % 2 == 0, "COLD").otherwise("WARM")
-    return _chunks(spark, sf).select("bucket", status.alias("status"))
+    t = _with_retention(spark, sf, "21 DAYS", HI)
+    return inspect.chunks_view({"t": t}, parse_bound(NOW)).select(F.col("bucket_start").alias("bucket"), "status")
+
+
+def _in_halves(spark, sf) -> Table:
+    """Two chunks for each day: of even and of odd events."""
+    t = _scratch(spark)
+    for n in range(2):
+        t.append(_events(spark, sf).where(f"event_id % 2 = {n}"))
+        t.flush(parse_bound(NOW))
+    return t
 
 
 @query(f"SELECT bucket, n FROM ({_CHUNKS}) WHERE bucket <= TIMESTAMP '{HI}' AND bucket + INTERVAL '1 day' > TIMESTAMP '{LO}'")
 def compact_scope(spark, sf):
-    return _chunks(spark, sf).where((F.col("bucket") <= ts(HI)) & (F.timestamp_add("DAY", F.lit(1), F.col("bucket")) > ts(LO))).select("bucket", "n")
+    t, now = _in_halves(spark, sf), parse_bound(NOW)
+    before = inspect.chunks_view({"t": t}, now)
+    maintenance.compact(t, LO, HI, now)
+    new = inspect.chunks_view({"t": t}, now).join(before, "chunk_id", "left_anti")
+    return new.groupBy(F.col("bucket_start").alias("bucket")).agg(F.sum("row_count").alias("n"))
 
 
 @query("SELECT event_type, user_id, CAST(row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS BIGINT) AS place, event_id FROM events")
 def compaction_merge(spark, sf):
-    w = Window.partitionBy(*TAGS).orderBy("ts", "event_id")
-    e = read(spark, sf, "events")
-    merged = e.where("event_id % 2 = 0").unionByName(e.where("event_id % 2 = 1"))
-    return merged.select(*TAGS, F.row_number().over(w).cast("long").alias("place"), "event_id")
+    t = _in_halves(spark, sf)
+    maintenance.compact(t, now=parse_bound(NOW))
+    w = Window.partitionBy(*TAGS).orderBy(*t.order())
+    return t.scan(positions=True).select(*TAGS, F.row_number().over(w).cast("long").alias("place"), "event_id")
 
 
 _EST_LO, _EST_HI = parse_bound("2024-01-05 07:00:00"), parse_bound("2024-01-21 19:30:00")
@@ -285,10 +306,8 @@ _EST_LO, _EST_HI = parse_bound("2024-01-05 07:00:00"), parse_bound("2024-01-21 1
     "SELECT CAST(greatest(sum(greatest(n * least(greatest(part, 1), span) // span, 1)), 1) AS BIGINT) AS estimate FROM e"
 )
 def estimate_rows_range(spark, sf):
-    us = micros(F.col("ts"))
-    c = read(spark, sf, "events").groupBy(bucket_start(F.col("ts"), "1 DAY").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("lo"), F.max(us).alias("hi")).where(f"hi >= {_EST_LO} AND lo <= {_EST_HI}")
-    e = c.selectExpr("n", "greatest(hi - lo, 1) AS span", f"least({_EST_HI}, hi) - greatest({_EST_LO}, lo) + 1 AS part")
-    return e.selectExpr("CAST(greatest(sum(greatest(CAST((CAST(n AS DECIMAL(38, 0)) * least(greatest(part, 1), span)) div span AS BIGINT), 1)), 1) AS BIGINT) AS estimate")
+    found = inspect.estimate_rows(_sealed(spark, sf).snapshot(), _EST_LO, _EST_HI)
+    return spark.createDataFrame([(found,)], "estimate long")
 
 
 # --- joins
@@ -478,6 +497,21 @@ def _events(spark, sf) -> DataFrame:
     return read(spark, sf, "events").select("ts", "event_type", "user_id", "event_id", "value")
 
 
+_KEPT: dict[tuple[str, str], Table] = {}
+
+
+def _sealed(spark: SparkSession, sf: str) -> Table:
+    """The events, sealed by day: written once in a session for the queries that
+    only read."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _KEPT:
+        t = _scratch(spark)
+        t.append(_events(spark, sf))
+        t.flush(parse_bound(NOW))
+        _KEPT[key] = t
+    return _KEPT[key]
+
+
 _ALL = "SELECT ts, event_type, user_id, event_id, value FROM events"
 
 
@@ -554,3 +588,245 @@ def table_time_travel(spark, sf):
     version = t.append(_events(spark, sf)).version
     t.append(_events(spark, sf))
     return t.as_of(version).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+@query("SELECT event_id, ts FROM events WHERE event_id % 7 = 0")
+def table_positions(spark, sf):
+    t = _sealed(spark, sf)
+    wanted = t.scan(positions=True).where("event_id % 7 = 0")
+    return t.fetch(wanted).select("event_id", "ts")
+
+
+@query(f"SELECT event_id, ts FROM ((SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '{LO}' ORDER BY ts DESC, event_id DESC LIMIT 12) UNION ALL (SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '{LO}' ORDER BY ts, event_id LIMIT 8))")
+def table_cursor(spark, sf):
+    return _sealed(spark, sf).around(LO, 12, 8).select("event_id", "ts")
+
+
+@query("SELECT min(ts) AS least, max(ts) AS most, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events")
+def table_bounds(spark, sf):
+    t = _sealed(spark, sf)
+    (lo, hi), first, last = t.bounds(), t.first().first(), t.last().first()
+    return spark.createDataFrame([(from_us(lo), from_us(hi), t.count(), first.ts, last.ts)], "least timestamp_ntz, most timestamp_ntz, n long, first timestamp_ntz, last timestamp_ntz")
+
+
+@query("SELECT event_type, user_id, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS BIGINT) AS series_id FROM events GROUP BY event_type, user_id")
+def table_series(spark, sf):
+    """Ids stay as they were given: the second half of the events comes after a
+    flush, and all is compacted."""
+    t, e, now = _scratch(spark), _events(spark, sf).coalesce(1), parse_bound(NOW)
+    middle = e.agg(F.avg("event_id")).first()[0]
+    for part in (e.where(F.col("event_id") <= middle), e.where(F.col("event_id") > middle)):
+        t.append(part)
+        t.series_count()
+        t.flush(now)
+    maintenance.compact(t, now=now)
+    return t.series().select(*TAGS, "series_id")
+
+
+@query("SELECT count(*) AS rows, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS pending, count(DISTINCT (event_type, user_id)) AS series, CAST(8 * count(ts) + 8 * count(user_id) + 8 * count(event_id) + 8 * count(value) + sum(strlen(event_type) + 4) AS BIGINT) AS data_bytes FROM events")
+def table_stats(spark, sf):
+    s = inspect.stats(_sealed(spark, sf))
+    return spark.createDataFrame([(s["rows"], s["chunks"], s["pending_rows"], s["series"], s["data_bytes"])], "rows long, chunks long, pending long, series long, data_bytes long")
+
+
+@query("SELECT 'ts' AS ts_column, 'event_type,user_id' AS tags, count(*) + 2 AS row_count, CAST(2 AS BIGINT) AS pending_rows, count(DISTINCT (event_type, user_id)) + 1 AS series, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS chunks, '1 DAY' AS chunk_interval, 'FOREVER' AS retention_period, '7 DAYS' AS hot_threshold, 'ZSTD' AS compression FROM events")
+def table_views(spark, sf):
+    t = _with_retention(spark, sf, "FOREVER")
+    t.append(_events(spark, sf).limit(2).withColumn("event_type", F.lit("other")).withColumn("user_id", F.lit(0)))
+    return inspect.tables_view({"t": t}, parse_bound(NOW)).select("ts_column", "tags", "row_count", "pending_rows", "series", "chunks", "chunk_interval", "retention_period", "hot_threshold", "compression")
+
+
+@query(f"SELECT CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS files, CAST(count(DISTINCT CASE WHEN ts BETWEEN TIMESTAMP '{LO}' AND TIMESTAMP '{HI}' THEN CAST(ts AS DATE) END) AS BIGINT) AS wanted FROM events")
+def table_pruned_files(spark, sf):
+    """Files that pass the check of their contents, and those that a scan of a
+    range opens."""
+    t = _sealed(spark, sf)
+    return spark.createDataFrame([(maintenance.check(t), len(t.scan(LO, HI).inputFiles()))], "files long, wanted long")
+
+
+@query("SELECT ts, event_type, user_id, event_id, value FROM events UNION ALL SELECT ts, event_type, user_id, event_id, value FROM events WHERE event_id % 2 = 0")
+def table_batch(spark, sf):
+    t, e = _scratch(spark), _events(spark, sf)
+    with t.batch() as b:  # seen at once, whatever cleans up meanwhile
+        b.write(e)
+        b.write(e.where("event_id % 2 = 0"))
+        maintenance.recover(t)
+    try:
+        with t.batch() as b:
+            b.write(e)
+            raise KeyError
+    except KeyError:
+        pass
+    for _ in range(2):  # a batch that is tried again
+        t.append(e.where("event_id < 0"), "stream:1")
+    return t.df()
+
+
+def _engine(spark: SparkSession) -> Engine:
+    return Engine(spark, _scratch(spark).store.root + "/db")
+
+
+@query("SELECT ts, event_type, event_id, CAST(round(value * 100) AS BIGINT) AS cents, 'none' AS note FROM events")
+def engine_alter(spark, sf):
+    e = _engine(spark)
+    e.create_as("a", _definition({}), _events(spark, sf))
+    e.create_like("b", "a")
+    e.swap("a", "b")
+    e.rename("b", "c")
+    new = T.StructType([T.StructField("ts", T.TimestampNTZType(), False), tag("event_type"), T.StructField("event_id", T.LongType()), T.StructField("cents", T.LongType()), T.StructField("note", T.StringType(), False, {"default": "none"}), T.StructField("inner", T.IntegerType(), True, {"invisible": True})])
+    return e.alter("c", TableDef(new), ["ts", "event_type", "event_id", "CAST(round(value * 100) AS BIGINT) AS cents"]).df()
+
+
+@query("SELECT ts, event_type, user_id, event_id, value FROM events WHERE event_id % 3 = 0")
+def engine_load_export(spark, sf):
+    e, rows = _engine(spark), _events(spark, sf).where("event_id % 3 = 0")
+    e.create("a", _definition({}))
+    path = f"{e.root}/../export"
+    e.export_csv(rows, path)
+    e.load_csv("a", path)
+    return e.open("a").df()
+
+
+_NAMES = "VALUES ('after drop', 'c'), ('after rename', 'b,c'), ('compacted', '1'), ('created', 'a,b'), ('dropped', '0'), ('errors', ''), ('orphans', '1'), ('quarantined', '0'), ('temporary', '0')"
+
+
+@query(f"SELECT * FROM ({_NAMES}) v(what, found)")
+def engine_upkeep(spark, sf):
+    """Names, recovery beside a stray file, and a round of the scheduler."""
+    e, some, now = _engine(spark), _events(spark, sf).limit(10).coalesce(1), parse_bound(NOW)
+    for n in "ab":
+        e.create(n, _definition({}))
+    out = {"created": ",".join(e.names())}
+    e.create("t", _definition({}), temporary=True)
+    out["temporary"] = e.open("t").count()
+    e.rename("a", "c")
+    out["after rename"] = ",".join(e.names())
+    e.drop("b")
+    out["after drop"] = ",".join(e.names())
+    t = e.open("c")
+    some.write.parquet(f"{t.store.root}/data/stray")
+    found = maintenance.recover(t)
+    out |= {"orphans": found["orphans"], "quarantined": found["quarantined"]}
+    one_day = some.withColumn("ts", ts(LO))
+    for _ in range(2):
+        t.append(one_day)
+        t.flush(now)
+    rounds = maintenance.Scheduler(lambda: {n: e.open(n) for n in e.names()}, 60, 2)
+    done = rounds.round()["c"]
+    out |= {"compacted": done["compacted"], "dropped": done["dropped"], "errors": ",".join(rounds.errors)}
+    return spark.createDataFrame([(k, str(v)) for k, v in out.items()], "what string, found string")
+
+
+_REFUSED = {
+    "no axis": "InvalidArgError", "nullable axis": "InvalidArgError", "tagged axis": "InvalidArgError", "interval": "InvalidArgError", "retention": "InvalidArgError", "codec": "InvalidArgError", "unknown option": "InvalidArgError",
+    "index on a value": "InvalidArgError", "unique": "UnsupportedError", "auto increment": "UnsupportedError", "partitions": "UnsupportedError", "generated": "UnsupportedError", "foreign key": "UnsupportedError", "fulltext": "UnsupportedError",
+    "encryption": "UnsupportedError", "array": "UnsupportedError", "update": "ReadOnlyError", "delete some": "ReadOnlyError", "handler": "UnsupportedError", "null in axis": "InvalidArgError", "check": "InvalidArgError", "extra column": "InvalidArgError", "no table": "NotFoundError", "path as name": "InvalidArgError",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _REFUSED.items()) + ") v(what, error)")
+def engine_refusals(spark, sf):
+    axis, v = T.StructField("ts", T.TimestampNTZType(), False), T.StructField("v", T.IntegerType())
+    of = lambda *fields, **how: TableDef(T.StructType([*fields]), **how)
+    e = _engine(spark)
+    t = e.create("a", of(axis, v, checks=["v > 0"]))
+    row = lambda ts_, v_: spark.createDataFrame([(ts_, v_)], "ts timestamp_ntz, v int")
+    at = datetime(2024, 1, 1)
+    tries = {
+        "no axis": lambda: of(v), "nullable axis": lambda: of(T.StructField("ts", T.TimestampNTZType())), "tagged axis": lambda: of(T.StructField("ts", T.TimestampNTZType(), False, {"tag": True})),
+        "interval": lambda: of(axis, options={"CHUNK_INTERVAL": "2 HOUR"}), "retention": lambda: of(axis, options={"RETENTION_PERIOD": "soon"}), "codec": lambda: of(axis, options={"COMPRESSION": "GZIP"}), "unknown option": lambda: of(axis, options={"COLOUR": 1}),
+        "index on a value": lambda: of(axis, v, indexes=["ts", "v"]), "unique": lambda: of(axis, unique=["ts"]), "auto increment": lambda: of(axis, v, auto_increment="v"), "partitions": lambda: of(axis, v, partition_by=["v"]), "generated": lambda: of(axis, v, generated=["v"]),
+        "foreign key": lambda: of(axis, v, foreign_keys=["v"]), "fulltext": lambda: of(axis, v, fulltext=["v"]), "encryption": lambda: of(axis, options={"ENCRYPTION": "YES"}), "array": lambda: of(axis, T.StructField("a", T.ArrayType(T.IntegerType()))),
+        "update": lambda: t.update("v = 1"), "delete some": lambda: t.delete("v = 1"), "handler": t.handler, "null in axis": lambda: t.append(row(None, 1)), "check": lambda: t.append(row(at, -5)), "extra column": lambda: t.append(row(at, 1).withColumn("w", F.lit(1))),
+        "no table": lambda: e.open("zz"), "path as name": lambda: e.create("../x", of(axis)),
+    }
+    out = []
+    for what, run in tries.items():
+        try:
+            run()
+            out.append((what, "none"))
+        except EngineError as x:
+            out.append((what, type(x).__name__))
+    return spark.createDataFrame(out, "what string, error string")
+
+
+_TIMES = {
+    "bound of a day": ("SELECT CAST(epoch_us(TIMESTAMP '2024-02-29') AS BIGINT)", lambda: parse_bound("2024-02-29")),
+    "bound of a microsecond": ("SELECT CAST(epoch_us(TIMESTAMP '1969-12-31 23:59:59.000007') AS BIGINT)", lambda: parse_bound("1969-12-31 23:59:59.000007")),
+    "month before": ("SELECT CAST(epoch_us(TIMESTAMP '2024-03-31 05:00:00' - INTERVAL '1 month') AS BIGINT)", lambda: add_months(parse_bound("2024-03-31 05:00:00"), -1)),
+    "thirteen months before": ("SELECT CAST(epoch_us(TIMESTAMP '2024-03-31' - INTERVAL '13 months') AS BIGINT)", lambda: add_months(parse_bound("2024-03-31"), -13)),
+    "cutoff of weeks": (f"SELECT CAST(epoch_us(TIMESTAMP '{NOW}' - INTERVAL '14 days') AS BIGINT)", lambda: Retention.parse("2 weeks").cutoff(parse_bound(NOW))),
+    "cutoff of years": (f"SELECT CAST(epoch_us(TIMESTAMP '{NOW}' - INTERVAL '3 years') AS BIGINT)", lambda: Retention.parse("3 YEARS").cutoff(parse_bound(NOW))),
+    "hot": (f"SELECT CAST(TIMESTAMP '{HI}' > TIMESTAMP '{NOW}' - INTERVAL '12 days' AS BIGINT)", lambda: int(is_hot(parse_bound(HI), parse_bound(NOW), Period.parse("12 DAYS")))),
+    "not hot": (f"SELECT CAST(TIMESTAMP '{HI}' > TIMESTAMP '{NOW}' - INTERVAL '11 days' AS BIGINT)", lambda: int(is_hot(parse_bound(HI), parse_bound(NOW), Period.parse("11 DAYS")))),
+    "week of a time before 1970": ("SELECT CAST(epoch_us(date_trunc('week', TIMESTAMP '1969-12-31 23:59:59.999999')) AS BIGINT)", lambda: ChunkInterval.parse("1 week").start(-1)),
+    "end of a month": ("SELECT CAST(epoch_us(TIMESTAMP '2024-03-01') AS BIGINT)", lambda: ChunkInterval.parse("1 MONTH").end(parse_bound("2024-02-10"))),
+    "compact name": ("SELECT CAST(strftime(TIMESTAMP '2024-01-08 06:00:00', '%Y%m%d%H%M%S') AS BIGINT)", lambda: int(format_compact(parse_bound("2024-01-08 06:00:00")).replace("T", ""))),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS what, ({sql}) AS us" for k, (sql, _) in _TIMES.items()))
+def period_functions(spark, sf):
+    return spark.createDataFrame([(k, f()) for k, (_, f) in _TIMES.items()], "what string, us long")
+
+
+_EDGES = "SELECT b + d * INTERVAL '1 microsecond' AS ts FROM (SELECT TIMESTAMP '1969-12-14' + i * INTERVAL '30 minutes' AS b FROM range(1680) r(i) UNION ALL SELECT TIMESTAMP '2026-02-25' + i * INTERVAL '30 minutes' FROM range(336) r(i)), (VALUES (-1), (0), (1)) v(d)"
+
+
+@query(f"SELECT ts, {', '.join(sql.replace('CAST(', '(').replace(' AS TIMESTAMP)', ')::TIMESTAMP') + ' AS ' + 'b_' + k.lower().replace(' ', '_') for k, sql in _BUCKET_SQL.items())} FROM ({_EDGES})")
+def bucket_edges(spark, sf):
+    """Half hours around 1970 and a month's end, a microsecond before and after."""
+    us = lambda text: parse_bound(text)
+    grid = [spark.range(n).select((F.lit(us(a)) + F.col("id") * 1_800_000_000).alias("us")) for a, n in (("1969-12-14", 1680), ("2026-02-25", 336))]
+    near = grid[0].unionByName(grid[1]).select(F.explode(F.array(*((F.col("us") + d) for d in (-1, 0, 1)))).alias("us"))
+    rows = near.select(F.timestamp_add("MICROSECOND", F.col("us"), ts("1970-01-01 00:00:00")).alias("ts"))
+    return rows.select("ts", *(bucket_start(F.col("ts"), k).alias("b_" + k.lower().replace(" ", "_")) for k in _BUCKET_SQL))
+
+
+# Rows and results of the known collations, over one sealed and one pending day.
+_WORDS = [
+    ("abc", "abc", "abc", "abc", "abc", 1), ("ABC", "ÀBC", "ABC", "ABC", "ABC", 2), ("abc ", "abc ", "abc ", "abc ", "abc ", 3), ("abc  ", "abç", "abc  ", "abc  ", "abc  ", 4), ("", "", "", "", "", 5), (" ", " ", " ", " ", " ", 6),
+    ("😀", "😀", "😀", "😀", "?", 7), ("🚀", "🚀", "🚀", "🚀", None, 8), ("ñandú", "NANDU", "ñandú", "ñandú", "n", 9), ("Straße", "STRASSE", "Straße", "Straße", "s", 10), ("a\tb", None, None, None, None, 11), ("日本語", "日本語", "日本語", "日本語", "x", 12),
+]
+_GENERAL, _UNICODE, _BIN, _NOPAD, _LATIN = "utf8mb4_general_ci", "utf8mb4_unicode_ci", "utf8mb4_bin", "utf8mb4_nopad_bin", "latin1_swedish_ci"
+#: Column, collation, values; number of rows and sum of n.
+_COLLATED = [
+    ("ci", _GENERAL, "abc", 8, 420), ("ci", _GENERAL, "ABC", 8, 420), ("ci", _GENERAL, "abc  ", 8, 420), ("ci", _GENERAL, "", 4, 222), ("ci", _GENERAL, " ", 4, 222), ("ci", _GENERAL, "😀", 4, 230), ("ci", _GENERAL, "🚀", 4, 230),
+    ("ci", _GENERAL, "nandu", 2, 118), ("ci", _GENERAL, "ñandú", 2, 118), ("ci", _GENERAL, "strasse", 0, 0), ("ci", _GENERAL, "Straße", 2, 120), ("ci", _GENERAL, ["abc", "😀"], 12, 650), ("ci", _GENERAL, ["", " "], 4, 222),
+    ("ci", _BIN, "abc", 6, 316), ("ci", _BIN, "abc ", 6, 316), ("ci", _NOPAD, "abc", 2, 102), ("ci", "utf8mb4_general_nopad_ci", "ABC", 4, 206), ("ci", "utf8mb4_general_nopad_ci", "abc ", 2, 106),
+    ("uni", _UNICODE, "abc", 8, 420), ("uni", _UNICODE, "ABC", 8, 420), ("uni", _UNICODE, "abç", 8, 420), ("uni", _UNICODE, "abc ", 8, 420), ("uni", _UNICODE, "nandu", 2, 118), ("uni", _UNICODE, "strasse", 2, 120),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS INTEGER), CAST({n} AS BIGINT), CAST({s} AS BIGINT))" for i, (*_, n, s) in enumerate(_COLLATED)) + ") v(place, n, total)")
+def table_collations(spark, sf):
+    tags = ("ci", "uni", "bin", "np", "ch")
+    schema = T.StructType([T.StructField("ts", T.TimestampNTZType(), False), *map(tag, tags), T.StructField("n", T.IntegerType())])
+    t = _engine(spark).create("words", schema)
+    for day in range(2):
+        t.append(spark.createDataFrame([(datetime(2026, 1, 1 + day, 0, 0, w[-1]), *w[:-1], w[-1] + 100 * day) for w in _WORDS], schema))
+        if day == 0:
+            t.flush(parse_bound(NOW))
+    found = [t.scan(tags={c: v}, collation=how).agg(F.lit(i).alias("place"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")) for i, (c, how, v, *_) in enumerate(_COLLATED)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "SELECT c_custkey, ['one', 'two', 'three'][c_custkey % 4] AS a, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS b, chr(39) || replace(c_name, chr(39), chr(92) || chr(39)) || chr(39) AS c, chr(CAST(65 + c_custkey % 26 AS INTEGER)) AS d, "
+    "round(atan2(c_acctbal, 1000), 9) AS e, '{\"k\":' || c_custkey || ',\"s\":\"' || c_mktsegment || '\"}' AS f, strpos(c_name, '#') AS g, reverse(c_mktsegment) AS h, CAST(sign(c_acctbal) AS INTEGER) AS i, round(sqrt(abs(c_acctbal)), 6) AS j, CAST(ceil(c_acctbal) AS BIGINT) AS k, CAST(floor(c_acctbal) AS BIGINT) AS l FROM customer"
+)
+def scalar_functions_more(spark, sf):
+    """ELT, FIELD, QUOTE, CHAR, ATAN2, JSON_OBJECT and others."""
+    return read(spark, sf, "customer").selectExpr(
+        "c_custkey", "get(array('one', 'two', 'three'), CAST(c_custkey % 4 AS INT) - 1) AS a", "CAST(coalesce(array_position(array('BUILDING', 'MACHINERY'), c_mktsegment), 0) AS INT) AS b", "concat(chr(39), replace(c_name, chr(39), concat(chr(92), chr(39))), chr(39)) AS c", "char(65 + c_custkey % 26) AS d",
+        "round(atan2(c_acctbal, 1000), 9) AS e", "to_json(named_struct('k', c_custkey, 's', c_mktsegment)) AS f", "instr(c_name, '#') AS g", "reverse(c_mktsegment) AS h", "CAST(sign(c_acctbal) AS INT) AS i", "round(sqrt(abs(c_acctbal)), 6) AS j", "ceil(c_acctbal) AS k", "floor(c_acctbal) AS l",
+    )
+
+
+@query("SELECT event_id, ts + INTERVAL '330 minutes' AS india, ts - INTERVAL '5 hours' AS new_york, ts - INTERVAL '450 minutes' AS half FROM events")
+def convert_time_zone(spark, sf):
+    """CONVERT_TZ of times without zone, by name and by offset; January, so no
+    summer time."""
+    at = F.col("ts")
+    zone = lambda z: F.convert_timezone(F.lit("UTC"), F.lit(z), at)
+    return read(spark, sf, "events").select("event_id", zone("Asia/Kolkata").alias("india"), zone("America/New_York").alias("new_york"), zone("-07:30").alias("half"))

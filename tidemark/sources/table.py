@@ -103,8 +103,9 @@ class Table:
     # --- writing
 
     def conform(self, df: DataFrame) -> DataFrame:
-        """df with the table's columns and types; missing nullable columns are
-        null, others are an error."""
+        """df with the table's columns and types; missing columns have their
+        default (metadata "default"), nullable ones without are null, others are
+        an error."""
         have = {c.lower(): c for c in df.columns}
         extra = set(have) - {f.name.lower() for f in self.schema}
         if extra:
@@ -113,6 +114,8 @@ class Table:
         for f in self.schema:
             if f.name.lower() in have:
                 out.append(F.col(f"`{have[f.name.lower()]}`").cast(f.dataType).alias(f.name, metadata=f.metadata))
+            elif "default" in f.metadata:
+                out.append(F.lit(f.metadata["default"]).cast(f.dataType).alias(f.name, metadata=f.metadata))
             elif f.nullable:
                 out.append(F.lit(None).cast(f.dataType).alias(f.name, metadata=f.metadata))
             else:
@@ -351,8 +354,11 @@ class Table:
         keys = [F.col(self.ts), F.regexp_extract(SOURCE, rf".*/{DATA}/(.*)$", 1), F.col(ORDINAL)]
         return [k.desc() if desc else k.asc() for k in keys]
 
-    def df(self, version: int | None = None) -> DataFrame:
-        return self.scan(version=version)
+    def df(self, version: int | None = None, invisible: bool = False) -> DataFrame:
+        """All rows, without invisible columns (metadata "invisible") unless
+        they are asked for."""
+        hidden = [] if invisible else [f.name for f in self.schema if f.metadata.get("invisible")]
+        return self.scan(version=version).drop(*hidden)
 
     def as_of(self, version: int) -> DataFrame:
         return self.scan(version=version)
@@ -401,6 +407,13 @@ class Table:
         hi = {"=": us, "<=": us, "<": us - 1}.get(side)
         return self.scan(lo, hi, sorted=True, desc=desc, version=version)
 
+    def around(self, key: int | str, before: int, after: int, version: int | None = None) -> DataFrame:
+        """What a cursor set on a key finds when it goes both ways: `before`
+        rows ahead of the key and `after` rows from it on, each way in order."""
+        version = self.version if version is None else version
+        back, on = self.lookup(key, "BEFORE_KEY", version).limit(before), self.lookup(key, "KEY_OR_NEXT", version).limit(after)
+        return back.unionByName(on)
+
     def at(self, key: int | str) -> DataFrame:
         return self.lookup(key, "EXACT")
 
