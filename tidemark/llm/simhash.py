@@ -15,6 +15,12 @@ forest. A bucket with very many members is searched from member to member,
 dropping those already linked, so that a dense group costs about its size.
 Components of the links are found by alternating star steps on tables.
 
+Fingerprints may be of 128 bits (keep_one with `total`): the first 64 are grouped,
+bucketed and probed as above, and a pair is verified on all 128, of which at most
+`total` may differ. So a wide radius finds texts that are less alike without
+linking those that are like by chance, of which there are more the larger a
+corpus is.
+
 Defined results: a null or empty text has no words and fingerprint zero, linked
 like any other; very long texts are read whole. Equal rows share a component. Null ids are never the smallest;
 a component of null ids only has a null id. An empty table gives an empty
@@ -47,38 +53,62 @@ ROW_COST = 50
 #: A bucket with more pairs than this is searched from member to member; the
 #: links have the same components either way.
 DENSE_PAIRS = 1 << 22
+#: Settings for copies of a similarity of 0.8 or more: five-word shingles, at
+#: most 8 of the first 64 bits, and as many of 128 as 0.8 lets differ on average.
+SIMILAR = {"shingle": 5, "radius": 8, "total": 20}
 #: A fingerprint of more than one row in this many is hot.
 HOT_SHARE = 1024
 
 
+def shingles(text: str, shingle: int) -> Iterator[bytes]:
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    line = b" ".join(found)
+    if len(found) <= shingle:
+        if found:
+            yield line
+        return
+    at = np.cumsum([0, *map(len, found)]) + np.arange(len(found) + 1)
+    for a, b in zip(at.tolist(), at[shingle:].tolist(), strict=False):
+        yield line[a : b - 1]
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of hashes as rows of words of 64 bits, the bits set in over half of them."""
+    bits = BITS * hashes.shape[1]
+    ones = np.zeros(bits, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(np.ascontiguousarray(hashes[i : i + (1 << 16)]).view(np.uint8).reshape(-1, bits // 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     import xxhash
 
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
-    line, digest = b" ".join(found), xxhash.xxh64_intdigest
-    if len(found) <= shingle:
-        hashes = [digest(line, seed)]
-    else:
-        at = np.cumsum([0, *map(len, found)]) + np.arange(len(found) + 1)
-        hashes = [digest(line[a : b - 1], seed) for a, b in zip(at.tolist(), at[shingle:].tolist(), strict=False)]
-    h = np.array(hashes, dtype="<u8")
-    ones = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(x, seed) for x in shingles(text, shingle)], dtype="<u8").reshape(-1, 1)
+    return int(majority(h)[0]) if len(h) else 0
+
+
+def wide_fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int, int]:
+    """128 bits, of the 128-bit hashes of shingles."""
+    import xxhash
 
+    digest = xxhash.xxh3_128_digest
+    h = np.frombuffer(b"".join([digest(x, seed) for x in shingles(text, shingle)]), dtype="<u8").reshape(-1, 2)
+    return tuple(majority(h).tolist()) if len(h) else (0, 0)
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, *more: str) -> DataFrame:
-    """doc_id, fp, the fingerprint as a signed long, and more columns."""
 
-    @F.pandas_udf("long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, *more: str, wide: bool = False) -> DataFrame:
+    """doc_id, fp, the fingerprint as a signed long, rest, its second half if it
+    is wide and 0 if not, and more columns."""
+
+    @F.pandas_udf("fp long, rest long")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64).view(np.int64))
+            found = [wide_fingerprint(t, shingle, seed) if wide else (fingerprint(t, shingle, seed), 0) for t in texts]
+            yield pd.DataFrame(np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64), columns=["fp", "rest"])
 
-    return docs.select("doc_id", of(whole_text()).alias("fp"), *more)
+    return docs.select("doc_id", of(whole_text()).alias("found"), *more).select("doc_id", "found.fp", "found.rest", *more)
 
 
 @dataclass(frozen=True)
@@ -195,17 +225,17 @@ def flips(width: int, radius: int) -> np.ndarray:
 
 
 def bucketed(distinct: DataFrame, plan: Plan) -> DataFrame:
-    """bucket, fp, probe: every fingerprint in its own buckets (probe false) and
-    in those that it probes."""
+    """bucket, fp, rest, probe: every fingerprint in its own buckets (probe
+    false) and in those that it probes."""
 
     most = max(ball(len(bits), t) for bits, t in zip(plan.bits, plan.thresholds, strict=True) if t >= 0)
     step = max(1, min(4096, (1 << 20) // most))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            whole = b.column(0).to_numpy(zero_copy_only=False)
+            whole, rests = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at in range(0, len(whole), step):
-                fp = np.ascontiguousarray(whole[at : at + step])
+                fp, rest = (np.ascontiguousarray(x[at : at + step]) for x in (whole, rests))
                 for i, (bits, t) in enumerate(zip(plan.bits, plan.thresholds, strict=True)):
                     if t < 0:
                         continue
@@ -213,11 +243,11 @@ def bucketed(distinct: DataFrame, plan: Plan) -> DataFrame:
                     masks = flips.__wrapped__(len(bits), t) if t else np.zeros(0, dtype=np.uint64)
                     bucket = np.concatenate([own, (own[:, None] ^ masks[None, :]).ravel()])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket.view(np.int64)), pa.array(np.concatenate([fp, np.repeat(fp, len(masks))])), pa.array(np.arange(len(bucket)) >= len(fp))],
-                        names=["bucket", "fp", "probe"],
+                        [pa.array(bucket.view(np.int64)), *(pa.array(np.concatenate([x, np.repeat(x, len(masks))])) for x in (fp, rest)), pa.array(np.arange(len(bucket)) >= len(fp))],
+                        names=["bucket", "fp", "rest", "probe"],
                     )
 
-    return distinct.select("fp").mapInArrow(rows, "bucket long, fp long, probe boolean")
+    return distinct.select("fp", "rest").mapInArrow(rows, "bucket long, fp long, rest long, probe boolean")
 
 
 class Forest:
@@ -245,23 +275,31 @@ class Forest:
                 yield x, y
 
 
-def search_dense(members: np.ndarray, radius: int, forest: Forest) -> None:
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ, of signed longs."""
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))
+
+
+def search_dense(members: np.ndarray, rest: np.ndarray, radius: int, total: int, forest: Forest) -> None:
     """Links of a forest over all members within the radius, from member to
     member among those not yet reached."""
-    left = np.unique(members)
+    left, first = np.unique(members, return_index=True)
+    more = rest[first]
     while len(left):
-        front, left = left[:1], left[1:]
+        front, front_more, left, more = left[:1], more[:1], left[1:], more[1:]
         while len(front) and len(left):
             step = max(1, (1 << 22) // len(left))
-            now, front = front[:step], front[step:]
-            near = np.bitwise_count(now.view(np.uint64)[:, None] ^ left.view(np.uint64)[None, :]) <= radius
+            now, now_more, front, front_more = front[:step], front_more[:step], front[step:], front_more[step:]
+            near = apart(now[:, None], left[None, :])
+            near = (near <= radius) & (near + apart(now_more[:, None], more[None, :]) <= total)
             hit = near.any(0)
             for a, b in zip(now[near[:, hit].argmax(0)].tolist(), left[hit].tolist(), strict=True):
                 forest.link(a, b)
-            front, left = np.concatenate([front, left[hit]]), left[~hit]
+            front, front_more = np.concatenate([front, left[hit]]), np.concatenate([front_more, more[hit]])
+            left, more = left[~hit], more[~hit]
 
 
-def link_buckets(bucket: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int, forest: Forest) -> None:
+def link_buckets(bucket: np.ndarray, fp: np.ndarray, rest: np.ndarray, probe: np.ndarray, radius: int, total: int, forest: Forest) -> None:
     """Links between the members of whole buckets, which stand together."""
     start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     size = np.diff(np.concatenate([start, [len(bucket)]]))
@@ -269,7 +307,7 @@ def link_buckets(bucket: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius:
     busy = (owners > 0) & (size > 1)
     dense = busy & (owners * size > DENSE_PAIRS)
     for s, n in zip(start[dense].tolist(), size[dense].tolist(), strict=True):
-        search_dense(fp[s : s + n], radius, forest)
+        search_dense(fp[s : s + n], rest[s : s + n], radius, total, forest)
     group = np.repeat(np.arange(len(start)), size)
     left = np.flatnonzero((busy & ~dense)[group] & ~probe)
     sizes = size[group[left]]
@@ -280,15 +318,18 @@ def link_buckets(bucket: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius:
         n = sizes[at:to]
         a = np.repeat(left[at:to], n)
         b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[group[left[at:to]]], n)
-        near = (np.bitwise_count(fp[a].view(np.uint64) ^ fp[b].view(np.uint64)) <= radius) & (fp[a] != fp[b])
+        bits = apart(fp[a], fp[b])
+        near = np.flatnonzero((bits <= radius) & (bits > 0))
+        near = near[bits[near] + apart(rest[a[near]], rest[b[near]]) <= total]
         for x, y in zip(fp[a[near]].tolist(), fp[b[near]].tolist(), strict=True):
             forest.link(x, y)
         at = to
 
 
-def links(distinct: DataFrame, plan: Plan, radius: int = RADIUS) -> DataFrame:
-    """x, y: fingerprints in links whose components are those of all pairs
-    within the radius."""
+def links(distinct: DataFrame, plan: Plan, radius: int = RADIUS, total: int | None = None) -> DataFrame:
+    """x, y: fingerprints (fp, rest) in links whose components are those of all
+    pairs within the radius, and within `total` bits with the rest."""
+    total = radius if total is None else total
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -311,13 +352,13 @@ def links(distinct: DataFrame, plan: Plan, radius: int = RADIUS) -> DataFrame:
             rows = [np.concatenate(c) for c in zip(*kept, strict=True)]
             last = int(np.searchsorted(rows[0], rows[0][-1], side="left"))  # the last bucket may go on
             if last:
-                link_buckets(*(c[:last] for c in rows), radius, forest)
+                link_buckets(*(c[:last] for c in rows), radius, total, forest)
             kept, held = [tuple(c[last:] for c in rows)], len(rows[0]) - last
             if len(forest.up) > 1_000_000:
                 yield from out()
                 forest = Forest()
         if kept:
-            link_buckets(*(np.concatenate(c) for c in zip(*kept, strict=True)), radius, forest)
+            link_buckets(*(np.concatenate(c) for c in zip(*kept, strict=True)), radius, total, forest)
         yield from out()
 
     rows = bucketed(distinct, plan)
@@ -346,12 +387,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
-def grouped(prints: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """Distinct fingerprints of prints (fp, doc_id) with first_id, the smallest
+def grouped(prints: DataFrame, radius: int = RADIUS, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Distinct fingerprints of prints (fp, rest, doc_id) with first_id, the smallest
     id that has them, and n, the number of rows; and node, root of those linked
     to others: a fingerprint of the group, which no other group has."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
-    found = components(links(distinct, choose(distinct, radius), radius))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min("rest").alias("rest")))
+    found = components(links(distinct, choose(distinct, radius), radius, total))
     return distinct, found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -383,9 +424,10 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, total: int | None = None) -> DataFrame:
     """One document of each group, that of the smallest id, null ids last, then
-    of the smallest hash; columns unchanged. Ids may be null or repeated: what
+    of the smallest hash; columns unchanged. With `total`, fingerprints have 128
+    bits; those whose first 64 are equal are one. Ids may be null or repeated: what
     counts is the group. Rows are known by 128 bits of hash of id and text; of
     equal rows one stays. Texts are shuffled once."""
     from pyspark.sql import Window
@@ -393,8 +435,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed
     names = [F.col(f"`{c}`") for c in docs.columns]
     keys = [F.xxhash64(F.lit(n), F.col("doc_id"), F.col("text")).alias(f"key{n}") for n in (1, 2)]
     rows = docs.select(F.struct(*names).alias("row"), *keys)
-    prints = cut(fingerprints(docs.select("doc_id", "text", *keys), shingle, seed, "key1", "key2"))
-    distinct, with_roots = grouped(prints, radius)
+    prints = cut(fingerprints(docs.select("doc_id", "text", *keys), shingle, seed, "key1", "key2", wide=total is not None))
+    distinct, with_roots = grouped(prints, radius, total)
     roots = distinct.join(with_roots, distinct["fp"] == with_roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key1", "key2"))
     first = with_group(prints, roots, distinct).groupBy("root").agg(best.alias("best")).select("best.key1", "best.key2")
