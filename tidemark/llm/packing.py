@@ -5,16 +5,21 @@ that it falls in has a place on the Hilbert curve. Documents are range-sorted
 by that place, so every task holds a stretch of the curve, and packed in this
 order into sequences of a fixed number of tokens.
 
-Only texts move, once. The key is computed before the exchange, so sampling
-the range bounds needs no tokenizer; the tokenizer runs after it, once for each
-document, and a task holds one open sequence. The last, incomplete sequence of
-a task is cut into sequences whose lengths are powers of two, which need no
-padding.
-
-Defined results: a null or empty text is the end token alone. Equal rows are
-packed as often as they occur. An empty table gives an empty result. Null ids
-stay null. The exchange orders equal keys by a hash of id and text, so that a
-large group of copies is dealt to many tasks.
+Only texts move, once. The bounds between tasks come from the keys of a bounded
+sample of documents (SAMPLE_EACH for each task, SAMPLE_MOST in all); they decide
+where a document is packed, never whether. Every key is computed once, before
+the exchange; the tokenizer runs after it, once for each document, and a task
+holds one open sequence. The last, incomplete sequence of a task is cut into
+sequences whose lengths are powers of two, which need no padding.
+
+Ids are those that the tokenizers library gives by default: the strings of added
+tokens in a text are these tokens.
+
+Defined results: a null or empty text is the end token alone. Very long texts
+are packed whole, over as many sequences as they need. Equal rows are packed as
+often as they occur. An empty table gives an empty result. Null ids stay null.
+Other columns, of any name, are not looked at. The key ends in a hash of id and
+text, so that a large group of copies is dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -38,6 +43,10 @@ END = 1
 DIMS, BITS = 4, 8
 #: Hash buckets of the word vector.
 BUCKETS = 1 << 14
+#: Bits of the tie in a key, below those of the place on the curve.
+TIE_BITS = 63 - DIMS * BITS
+#: Documents sampled for the bounds between tasks, for each task and in all.
+SAMPLE_EACH, SAMPLE_MOST = 50, 1_000_000
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -87,17 +96,30 @@ def cells_of(text: str, table: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.minimum((even * (1 << bits)).astype(np.int64), (1 << bits) - 1)
 
 
-def curve_key(text: Column, seed: int = 42) -> Column:
-    """Hilbert place of a text."""
+def curve_key(text: Column, tie: Column, seed: int = 42, bounds: np.ndarray | None = None) -> Column:
+    """key: the Hilbert place of a text and then a part of the tie; part: the
+    number of bounds up to it."""
 
-    @F.pandas_udf("long")
-    def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("key long, part int")
+    def key(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         table = projection(seed)
-        for texts in batches:
+        for texts, ties in batches:
             cells = np.array([cells_of(t, table) for t in texts], dtype=np.int64).reshape(-1, DIMS)
-            yield pd.Series(hilbert_index(cells, BITS), dtype="int64")
+            low = ties.to_numpy(dtype=np.int64).view(np.uint64) >> np.uint64(64 - TIE_BITS)
+            keys = (hilbert_index(cells, BITS) << TIE_BITS) | low.astype(np.int64)
+            part = np.zeros(len(keys), np.int32) if bounds is None else np.searchsorted(bounds, keys, side="right").astype(np.int32)
+            yield pd.DataFrame({"key": keys, "part": part})
 
-    return key(text)
+    return key(text, tie)
+
+
+def bounds_of(docs: DataFrame, seed: int, parts: int) -> np.ndarray:
+    """Keys that divide docs (text, tie) into about equal parts, from a sample."""
+    n = docs.count()
+    wanted = min(SAMPLE_EACH * parts, SAMPLE_MOST)
+    some = docs.sample(min(1.0, wanted / max(n, 1)), seed) if n > wanted else docs
+    keys = np.sort(some.select(curve_key(F.col("text"), F.col("tie"), seed)["key"].alias("key")).toPandas()["key"].to_numpy(dtype=np.int64))
+    return keys[np.arange(1, parts) * len(keys) // parts] if len(keys) else keys
 
 
 def default_tokenizer() -> str:
@@ -115,10 +137,10 @@ def byte_letters() -> dict[str, int]:
 
 
 class TextTokenizer:
-    """Ids of a tokenizers file, special tokens not added and ordinary text
-    taken as such. A byte-level file whose ids follow its merges is run by
-    tiktoken, which gives the same ids several times faster; any other file by
-    its own library."""
+    """Ids of a tokenizers file: no special tokens are added, and the strings of
+    added tokens in a text are these tokens, as is the library's default. A
+    byte-level file whose ids follow its merges is run by tiktoken, which gives
+    the same ids several times faster; any other file by its own library."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -129,7 +151,6 @@ class TextTokenizer:
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_str(json.dumps(spec))
-            own.encode_special_tokens = True
             self.encode = lambda text: own.encode(text, add_special_tokens=False).ids
 
     @staticmethod
@@ -139,7 +160,13 @@ class TextTokenizer:
             return None
         if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
             return None
-        letters, special = byte_letters(), {t["content"] for t in spec.get("added_tokens") or []}
+        added = spec.get("added_tokens") or []
+        special = {t["content"]: t["id"] for t in added}
+        if any(not t.get("special") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in added):
+            return None
+        if "" in special or any(x != y and y.startswith(x) for x in special for y in special):
+            return None
+        letters = byte_letters()
         try:
             ranks = {bytes(letters[c] for c in k): v for k, v in model["vocab"].items() if k not in special}
             merged = [b"".join(bytes(letters[c] for c in part) for part in (m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
@@ -150,7 +177,8 @@ class TextTokenizer:
         import public_tokenizers
         import tiktoken
 
-        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        own = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        return lambda text: own.encode(text, allowed_special="all") if any(x in text for x in special) else own.encode_ordinary(text)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.encode(text), dtype=np.uint32)
@@ -227,7 +255,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_id = to_arrow_type(kind)
-    text = whole_text()
-    keyed = docs.select("doc_id", text.alias("text")).select("doc_id", "text", curve_key(F.col("text"), seed).alias("place"), F.xxhash64("doc_id", "text").alias("tie"))
-    order = ["place", "tie", "doc_id", "text"]
-    return keyed.repartitionByRange("place", "tie").sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, schema)
+    texts = docs.select("doc_id", whole_text().alias("text")).withColumn("tie", F.xxhash64("doc_id", "text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = curve_key(F.col("text"), F.col("tie"), seed, bounds_of(texts.select("text", "tie"), seed, parts))
+    keyed = texts.withColumn("at", place).select("doc_id", "text", "tie", "at.key", "at.part")
+    return keyed.repartitionById(parts, F.col("part")).sortWithinPartitions("key", "tie", "doc_id", "text").select("doc_id", "text").mapInArrow(run, schema)
