@@ -16,12 +16,15 @@ blocks of one more. So a document is taken whole, at the edge in part, and
 never more often than the cap says.
 
 Documents are dealt by source and slot, a hash of the row, so a source that
-holds most rows is spread evenly; its shards are groups of slots. Text is read
-once; what is shuffled is ids and sizes. The tables with one row for each
-source and for each slot are small: at most 4096 slots for each source.
-
-Defined results: a null text has size 0, a null source is a source of its own,
-after the others. Equal rows count as often as they occur. Without words all
+holds most rows is spread evenly; its shards are groups of slots, SLOTS at most,
+which bounds the tasks that one source is dealt to. Texts are read once: ids,
+sizes and hashes are kept in the shared folder, and all else works on them. To
+give the mixed texts, they are read a second time and shuffled once. Tables of
+one row for each source and each slot are all that windows over everything see.
+
+Defined results: a null text has size 0, a very long one all its words, a null
+source is a source of its own, after the others. Columns of any name pass
+through. Equal rows count as often as they occur. Without words all
 targets are 0. An empty table gives an empty result. Results depend on the rows
 and the seed only, so reruns agree.
 """
@@ -31,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, whole_text, words
+from .common import count_words, cut, whole_text, words
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -80,20 +83,20 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 def mix(docs: DataFrame, keep: list[str] | None = None, seed: int = SEED, block: int = BLOCK_TOKENS, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """keep (by default doc_id) of every row with size, source_size, target and
     taken: the words that the mix takes of it, repeats counted."""
-    taken = _taken(docs, ["doc_id"] if keep is None else keep, seed, block, weights, cap)
+    taken = _taken(docs, ["doc_id"] if keep is None else keep, True, seed, block, weights, cap)
     return taken.select("row.*", "size", "source_size", "target", "taken")
 
 
-def _taken(docs: DataFrame, keep: list[str], seed: int = SEED, block: int = BLOCK_TOKENS, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def _taken(docs: DataFrame, keep: list[str], slim: bool, seed: int = SEED, block: int = BLOCK_TOKENS, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """row, a struct of the columns to keep, with size, source_size, target and
-    taken."""
+    taken. Slim rows are kept in the shared folder; of others the slots are."""
     text = whole_text()
     d = docs.select(
-        F.struct(*keep).alias("row"), "doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("source_key"),
+        F.struct(*(F.col(f"`{k}`") for k in keep)).alias("row"), "doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("source_key"),
         count_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("mixed"),
     ).withColumn("slot", F.pmod("mixed", F.lit(SLOTS)).cast("int"))
-    d = d.repartition("source_key", "slot")
-    slots = d.groupBy("source_key", "slot").agg(F.sum("size").alias("slot_size"))
+    d = cut(d) if slim else d
+    slots = cut(d.groupBy("source_key", "slot").agg(F.sum("size").alias("slot_size")))
     sources = targets(slots.groupBy("source_key").agg(F.sum("slot_size").alias("source_size")), weights, cap)
     seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block)
     sources = apportion(sources.withColumn("seats", seats), [], ["source_key"], F.col("target"), F.col("seats")).withColumnRenamed("quota", "source_blocks")
@@ -117,7 +120,7 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     first words of it where a pass ended in it. Columns as before; n_chars, if
     there, follows the text."""
     fields = docs.columns
-    m = _taken(docs, fields, **how).withColumnRenamed("row", "d").where("taken > 0")
+    m = _taken(docs, fields, False, **how).withColumnRenamed("row", "d").where("taken > 0")
     copies = m.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = F.least(F.col("taken") - (F.col("copy") - 1) * F.col("size"), F.col("size"))
     text = F.when(F.col("left") == F.col("size"), F.col("d.text")).otherwise(_first_words(F.col("d.text"), F.col("left")))
