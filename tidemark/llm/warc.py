@@ -6,13 +6,18 @@ A converter parses them and makes the equivalent WARC records: identifiers are
 derived from what a record holds, timestamps and types from its header line and
 content, digests from its payload.
 
-Archives are written by Spark's text writer, one record after another and
-compressed, into the shared folder, and read with the binary file reader; so any
-store that Spark knows will do. Records with equal payloads (length and SHA-1 agree) are stored
-once: that of the smallest page is a response, the others revisits that refer to
-it, with HTTP headers but no payload.
-
-Defined results: a null payload is empty. A null URL is written as "unknown:";
+A task gathers records into ARC archives of both versions, of ARCHIVE_BYTES or
+one record; an archive that is full is parsed and becomes a WARC archive. Spark's
+text writer puts each into a compressed file of its own in the shared folder, and
+the binary file reader gives them back; so any store that Spark knows will do.
+Records with equal payloads (length and SHA-1 agree) are stored once: that of the
+smallest page is a response, the others revisits that refer to it, with HTTP
+headers but no payload. A revisit names the page that it refers to beside the
+record, so archives are read once.
+
+Defined results: a null payload is empty; a very long one has an archive of its
+own, up to what a value of Spark can hold (2 GB). Other columns, of any name, are
+not looked at. A null URL is written as "unknown:";
 white space in a URL is percent-encoded, as header lines need. Null ids come
 after all others; if all ids of equal payloads are null, all are responses, and
 so are rows that repeat the smallest id. In damaged archives, what a broken
@@ -47,7 +52,8 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # names that are URLs
 DATE = "20240101000000"
-RECORDS_PER_FILE = 5000
+#: Payload bytes after which an archive is full.
+ARCHIVE_BYTES = 32 << 20
 
 
 def sha1_32(data: bytes) -> str:
@@ -132,8 +138,9 @@ def record_id(url: str, date: str, mark: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, ' '.join((arc_url(url), date, mark, digest)))}>"
 
 
-def to_warc(r: ArcRecord, own_id: str | None = None, refers_to: str | None = None) -> bytes:
-    """The WARC record of an ARC record; a revisit if it refers to another one."""
+def to_warc(r: ArcRecord, own_id: str | None = None, refers_to: str | None = None, more: tuple[tuple[str, str], ...] = ()) -> bytes:
+    """The WARC record of an ARC record; a revisit if it refers to another one.
+    More fields, of names that begin with X-, may be given."""
     head, payload = split_http(r.content)
     digest = sha1_32(payload)
     kind = "revisit" if refers_to else "response" if head else "resource"
@@ -141,7 +148,7 @@ def to_warc(r: ArcRecord, own_id: str | None = None, refers_to: str | None = Non
     fields = [
         ("WARC-Type", kind), ("WARC-Record-ID", own_id or record_id(r.url, r.date, "", digest)), ("WARC-Date", warc_date(r.date)), ("WARC-Target-URI", arc_url(r.url)),
         ("WARC-IP-Address", r.ip), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{sha1_32(block)}"),
-        *([("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", refers_to)] if kind == "revisit" else []),
+        *([("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", refers_to)] if kind == "revisit" else []), *more,
         ("Content-Type", "application/http; msgtype=response" if head else r.mime), ("Content-Length", str(len(block))),
     ]
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogateescape") + b"\r\n" + block + b"\r\n\r\n"
@@ -163,7 +170,7 @@ def read_warc(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             yield fields, block
 
 
-PAGE = "X-Page-Id"
+PAGE, FIRST_PAGE = "X-Page-Id", "X-Refers-To-Page-Id"
 
 
 def http_response(payload: bytes, page_id: object) -> bytes:
@@ -185,63 +192,89 @@ def first_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return keyed.join(many, ["sha", "size"], "left").select("page_id", "url", "payload", "first_id", "sha")
 
 
-def convert(pages: DataFrame, path: str, date: str = DATE, least_bytes: int = 0) -> None:
-    """Writes a WARC record for each page: its ARC record, of version 1 or 2, is
-    parsed and converted."""
+def converted(pages: list[tuple], version: int, date: str) -> bytes:
+    """One WARC archive of pages (page_id, url, payload, first_id): their ARC
+    archive is written, parsed and converted record by record."""
+    arc = write_arc([ArcRecord(url or "", "0.0.0.0", date, "text/html", http_response(payload, page)) for page, url, payload, _ in pages], version)
+    out = []
+    for r, (page, _, payload, first) in zip(read_arc(arc), pages, strict=True):
+        # Identifiers come from page and payload, so that a revisit knows that
+        # of the record it refers to.
+        digest = sha1_32(payload)
+        own, to = (record_id("page:", date, str(x), digest) for x in (page, first))
+        again = first is not None and page != first
+        out.append(to_warc(r, own, to, ((FIRST_PAGE, str(first)),)) if again else to_warc(r, own))
+    return b"".join(out)
+
+
+def convert(pages: DataFrame, path: str, date: str = DATE, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes a WARC record for each page into archives: ARC archives, of version
+    1 for even pages and 2 for odd ones, are parsed and converted."""
     known = first_pages(pages, least_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_pages: dict[int, list[tuple]] = {1: [], 2: []}
+        held = {1: 0, 2: 0}
+
+        def full(version: int) -> pa.RecordBatch:
+            archive = converted(open_pages[version], version, date)
+            open_pages[version], held[version] = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([archive[:-1]], pa.binary())], names=["archive"])  # the writer ends each line
+
         for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                out = []
-                for page, url, payload, first in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                    version = 1 + (0 if page is None else page % 2)
-                    [r] = read_arc(write_arc([ArcRecord(url or "", "0.0.0.0", date, "text/html", http_response(payload, page))], version))
-                    again = first is not None and page != first
-                    # Identifiers come from page and payload, so that a revisit
-                    # knows that of the record it refers to.
-                    own, to = (record_id("page:", date, str(x), sha1_32(payload)) for x in (page, first))
-                    out.append(to_warc(r, own, to if again else None)[:-1])  # the writer ends each line
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-
-    records = known.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "payload", F.col("first_id").cast("long")).mapInArrow(run, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+            for page, url, payload, first in zip(*(b.column(i) for i in range(4)), strict=True):
+                row = page.as_py(), url.as_py(), payload.as_py(), first.as_py()
+                version = 1 + (0 if row[0] is None else row[0] % 2)
+                open_pages[version].append(row)
+                held[version] += len(row[2])
+                if held[version] >= archive_bytes:
+                    yield full(version)
+        for version, rows in open_pages.items():
+            if rows:
+                yield full(version)
+
+    archives = known.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "payload", F.col("first_id").cast("long")).mapInArrow(run, "archive binary")
+    archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+
+
+def described(fields: dict[str, str], block: bytes) -> tuple:
+    """What read() tells of a record; an error if payload or reference are not
+    what the record says."""
+    head, payload = split_http(block)
+    http, kind, told = http_fields(head), fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
+    page, first = http.get(PAGE.lower()), fields.get(FIRST_PAGE.lower())
+    if kind != "revisit" and sha1_32(payload) != told:
+        raise ValueError(f"record {fields['warc-record-id']} has another payload than its digest tells")
+    if first is not None and fields["warc-refers-to"] != record_id("page:", re.sub("[^0-9]", "", fields["warc-date"]), first, told):
+        raise ValueError(f"record {fields['warc-record-id']} refers to another record than that of its page")
+    size = int(http["content-length"]) if kind == "revisit" else len(payload)
+    return fields["warc-record-id"], fields.get("warc-refers-to"), kind, page and int(page), first and int(first), size, told
 
 
 def read(spark, path: str) -> DataFrame:
     """What the archives in a folder hold: record_id, refers_to_id, record_type,
-    page_id, payload_bytes and payload_digest, the last two of the full payload.
-    Payloads of responses are measured again and must have the digest told."""
+    page_id, refers_to, payload_bytes and payload_digest, the last two of the
+    full payload. Payloads of responses are measured again and must have the
+    digest told; of an archive one record is held beside it."""
+    names = ["record_id", "refers_to_id", "record_type", "page_id", "refers_to", "payload_bytes", "payload_digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                rows = []
-                for fields, block in read_warc(gzip.open(io.BytesIO(content.as_py()))):
-                    head, payload = split_http(block)
-                    http, kind, told = http_fields(head), fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                    if kind != "revisit" and sha1_32(payload) != told:
-                        raise ValueError(f"record {fields['warc-record-id']} has another payload than its digest tells")
-                    size = int(http["content-length"]) if kind == "revisit" else len(payload)
-                    page = http.get(PAGE.lower())
-                    rows.append((fields["warc-record-id"], fields.get("warc-refers-to"), kind, page and int(page), size, told))
+                rows = [described(*record) for record in read_warc(gzip.open(io.BytesIO(content.as_py())))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (3, 4) else pa.string()) for i, c in enumerate(zip(*rows, strict=True))], names=["record_id", "refers_to_id", "record_type", "page_id", "payload_bytes", "payload_digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (3, 4, 5) else pa.string()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "record_id string, refers_to_id string, record_type string, page_id long, payload_bytes long, payload_digest string")
+    return files.mapInArrow(run, "record_id string, refers_to_id string, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string")
 
 
-def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Pages (page_id, url, html) written as archives and read back: page_id,
     payload_bytes, payload_digest, record_type and refers_to."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     kind = pages.schema["page_id"].dataType
-    convert(pages.select("page_id", "url", payload.alias("payload")), path, least_bytes=least_bytes)
-    found = read(spark, path)
-    # Few pages are referred to; equal record ids are those of repeated rows.
-    targets = found.where("record_type = 'response'").groupBy("record_id").agg(F.first("page_id").alias("refers_to")).withColumnRenamed("record_id", "refers_to_id")
-    out = found.join(targets, "refers_to_id", "left")
-    return out.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    convert(pages.select("page_id", "url", payload.alias("payload")), path, least_bytes=least_bytes, archive_bytes=archive_bytes)
+    return read(spark, path).select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
