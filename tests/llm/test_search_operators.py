@@ -62,6 +62,14 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_clashing_names_and_rows_of_one_id_stay(spark):
+    texts = [" ".join(f"x{n}y{i}" for i in range(40)) for n in range(6)]
+    rows = list(zip([None, None, None, 7, 7, 8], texts, strict=True)) + [(7, texts[3])]
+    df = spark.createDataFrame([(*r, 1, 2, "q", 4) for r in rows], "doc_id long, text string, __n int, __id int, `a.b` string, key1 int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((i or 0, t) for i, t in rows[:6])
+
+
 def test_one_text_of_each_group_is_kept(spark):
     rng = random.Random(21)
     texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(24)]
@@ -92,7 +100,7 @@ def test_every_plan_finds_all_links(spark, thresholds):
         plan = simhash.Plan((tuple(range(24)),), (4,))  # covers links within these bits only
         fps = [f & 0xFFFFFF for f in fps]
         fps = sorted(set(fps))
-    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), 0) for f in fps], "fp long, rest long")
     forest = simhash.Forest()
     for r in simhash.links(df, plan).collect():
         forest.link(r.x, r.y)
@@ -105,9 +113,38 @@ def test_dense_buckets_equal_pairs():
     rng = np.random.default_rng(2)
     x = np.unique(np.concatenate([(np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) | (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)), rng.integers(0, 1 << 63, 200, dtype=np.uint64)])).view(np.int64)
     a, b = simhash.Forest(), simhash.Forest()
-    simhash.search_dense(x, 4, a)
-    simhash.link_buckets(np.zeros(len(x), np.int64), x, np.zeros(len(x), bool), 4, b)
-    assert [a.root(int(v)) for v in x] == [b.root(int(v)) for v in x]
+    for total, rest in ((4, np.zeros(len(x), np.int64)), (5, rng.integers(0, 4, len(x)))):
+        a, b = simhash.Forest(), simhash.Forest()
+        simhash.search_dense(x, rest, 4, total, a)
+        simhash.link_buckets(np.zeros(len(x), np.int64), x, rest, np.zeros(len(x), bool), 4, total, b)
+        assert [a.root(int(v)) for v in x] == [b.root(int(v)) for v in x]
+
+
+def test_copies_of_some_similarity(spark):
+    rng = random.Random(4)
+    texts = []
+    for n in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts.append(words)
+        for edits in (1, 2, 4):
+            copy = list(words)
+            for x in rng.sample(range(200), edits):
+                copy[x] = f"z{rng.randrange(10**6)}"
+            texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.SIMILAR).collect()}
+    prints = [simhash.wide_fingerprint(t, 5) for _, t in rows]
+    far = lambda a, b: (bin(a[0] ^ b[0]).count("1"), bin(a[1] ^ b[1]).count("1"))
+    left, want = set(range(len(rows))), set()
+    while left:
+        group = front = {min(left)}
+        want |= front
+        while front:
+            front = {y for y in left - group if any((d := far(prints[x], prints[y]))[0] <= 8 and sum(d) <= 20 for x in front)}
+            group = group | front
+        left -= group
+    assert kept == want and {4 * n for n in range(60)} <= kept
+    assert [sum(4 * n + e in kept for n in range(60)) <= most for e, most in ((1, 3), (2, 20))] == [True, True]
 
 
 def test_thresholds_are_allocated():
@@ -155,8 +192,11 @@ def planted(seed=5, edits=2):
 
 def test_passages(spark):
     rows, want = planted()
-    odd = [(100, None), (101, ""), (None, "a b"), (None, rows[0][1]), (102, "x " * 20_000), (103, rows[1][1]), (103, rows[1][1]), (104, rows[1][1].upper())]
+    odd = [(100, None), (101, ""), (None, "a b"), (None, rows[3][1]), (102, "x " * 20_000), (103, rows[1][1]), (103, rows[1][1]), (104, rows[1][1].upper())]
     got = substring_dedup.passages(spark.createDataFrame([(*r, 1) for r in rows + odd], "doc_id long, text string, start int")).collect()
+    copied = len(rows[3][1].split()) >= substring_dedup.MIN_WORDS
+    assert {r.other_id for r in got if r.doc_id is None} == ({3} if copied else set()) and {r.doc_id for r in got if r.other_id is None} == ({3} if copied else set())
+    got = [r for r in got if r.doc_id not in (None, 3)]
     found = {r.doc_id: (r.passage_start, r.passage_end) for r in got if r.doc_id % 2 == 0 and r.doc_id < 100}
     assert len(set(found) - set(want)) == 0 and len(set(want) - set(found)) <= 1
     assert all(abs(found[i][0] - want[i][0]) <= 3 and abs(found[i][1] - want[i][1]) <= 3 for i in found)
@@ -194,6 +234,70 @@ def test_passages_whose_pieces_stand_elsewhere(spark):
     assert {(r.doc_id, r.passage_start, r.passage_end) for r in got} == want
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(31)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    long, other = fresh(200), fresh(80)
+    rows = [(1, "aa bb"), (1, " ".join(long)), (2, " ".join(long)), (1, " ".join(other)), (3, " ".join(fresh(30) + other)), (None, " ".join(other)), (None, " ".join(fresh(90)))]
+    got = substring_dedup.passages(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, doc int, `a.b` string")).collect()
+    assert {(r.doc_id, r.passage_start, r.passage_end) for r in got} == {(1, 0, 200), (2, 0, 200), (1, 0, 80), (3, 30, 110), (None, 0, 80)}
+    assert all(r.identity == 1 and r.end - r.start == r.other_end - r.other_start for r in got)
+
+
+def test_document_numbers(spark):
+    ids = [0, 1, 1, 5, (1 << 47) - 1, 1 << 47, -3, -(1 << 63), (1 << 63) - 1, None, None]
+    rows = [(i, f"text {n}") for n, i in enumerate(ids)] + [(1, "text 1")]
+    got = [r.k for r in spark.createDataFrame(rows, "id long, text string").select(substring_dedup.document_key().alias("k")).collect()]
+    assert len(set(got)) == len(ids) and got[1] == got[-1]
+    assert [k >> 16 if k >= 0 else None for k in got[:5]] == ids[:5] and all(k < 0 for k in got[5:-1])
+
+
+def shared_windows(rows, n=50):
+    """Brute force: all stretches of n words that stand in another document, as covered words by document."""
+    where = {}
+    for d, (_, t) in enumerate(rows):
+        w = t.lower().split()
+        for i in range(len(w) - n + 1):
+            where.setdefault(tuple(w[i : i + n]), set()).add((d, i))
+    out = {d: set() for d in range(len(rows))}
+    for at in where.values():
+        if len({d for d, _ in at}) > 1:
+            for d, i in at:
+                out[d] |= set(range(i, i + n))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_every_exact_passage_of_min_words_is_covered(spark, seed):
+    rng = random.Random(seed)
+    fresh = lambda n: [f"w{rng.randrange(10**5)}" for _ in range(n)]
+    pool = [fresh(rng.randint(12, 90)) for _ in range(12)]
+    rows = []
+    for i in range(120):  # pieces of the pool, whole or in part, between other words
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(pool)
+            a = rng.randrange(0, len(p) // 2) if rng.random() < 0.3 else 0
+            words += fresh(rng.randint(1, 40)) + p[a:]
+        rows.append((i, " ".join(words)))
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    short = substring_dedup.WINDOW - 1  # by which an end may be short where pieces begin elsewhere
+    for d, words in shared_windows(rows, substring_dedup.MIN_WORDS + 2 * short).items():
+        mine = {x for r in got if r.doc_id == rows[d][0] for x in range(r.passage_start, r.passage_end)}
+        lost = sorted(words - mine)
+        assert all(lost[n + short] - lost[n] > short for n in range(len(lost) - short)), (d, lost)
+
+
+def test_copies_with_common_short_pieces_are_linked(spark):
+    rng = random.Random(77)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(60)
+    rows = [(n, " ".join(fresh(20) + passage[2 * n : 2 * n + 24] + fresh(20))) for n in range(19)]
+    rows += [(i, " ".join(fresh(25) + passage + fresh(25))) for i in (100, 111)]
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.passage_start, r.passage_end) for r in got if r.doc_id >= 100} == {(100, 25, 85), (111, 25, 85)}
+
+
 def test_runs_depend_on_their_seeds_only():
     rng = np.random.default_rng(3)
     words = rng.integers(0, 1 << 32, 200, dtype=np.uint32)
@@ -274,6 +378,16 @@ def test_few_vectors(spark):
     assert ann.search(df.limit(0)).count() == 0 and ann.search(df.where("vec_id = 0")).count() == 0
 
 
+def test_queries_in_tiny_leaves_have_all_their_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.eye(12)[[0]] * 50 + 0.01 * rng.normal(size=(3000, 12)), 50 * np.eye(12)[1:12] + 0.01 * rng.normal(size=(11, 12))])
+    ids = [*range(1, 3001), *(5000 + 50 * n for n in range(11))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = ann.search(df).groupBy("query_id").count().collect()
+    assert len(got) == 71 and {r["count"] for r in got} == {5}
+    assert ann.visits(ann.build(ann.unit(x), 100), ann.unit(x)[-1], 1, [1] * 100, 6)[5:]
+
+
 def test_tree_leads_every_vector_to_its_leaf():
     x = ann.unit(np.random.default_rng(0).normal(size=(2000, 8)))
     tree = ann.build(x, 50)
