@@ -5,6 +5,7 @@ import os
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -79,3 +80,15 @@ def test_scores_equal_an_independent_discriminant(spark, docs):
         z = (density(1, x[r.doc_id]) - density(0, x[r.doc_id])) / quality_model.TEMPERATURE
         want = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_archives_equal_their_sql(spark, tmp_path):
+    payloads = ["a", "b", "a", None, "", "ä" * 5000, "b", "a", "x\r\n\r\ny", "ä" * 5000, "WARC/1.0\r\n"]
+    rows = [(n, f"http://h/{n}", p) for n, p in enumerate(payloads)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op10_archive_round_trip(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op10_archive_round_trip"])
+    assert [d[0] for d in want.description] == got.columns
+    assert sorted(want.fetchall()) == sorted(map(tuple, got.collect()), key=lambda r: r[0]) and sum(r.record_type == "revisit" for r in got.collect()) == 5

@@ -103,5 +103,21 @@ FROM j
 """
 
 
+#: Base 32 of a digest: five hexadecimal digits are four letters.
+OP10_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS payload FROM pages
+), f AS (
+    SELECT *, sha1(payload) AS digest, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(((CAST('0x' || substr(digest, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8_SQL}
+    return {"op8_quality_rules": OP8_SQL, "op10_archive_round_trip": OP10_SQL}
