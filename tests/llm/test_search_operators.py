@@ -83,7 +83,8 @@ def test_one_text_of_each_group_is_kept(spark):
 
 
 @pytest.mark.parametrize("thresholds", [(0, 0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 0), (2, 0, 0), (3, -1, 0), (1, 2), (4,)])
-def test_every_plan_finds_all_links(spark, thresholds):
+@pytest.mark.parametrize("most", [simhash.BUCKET_ROWS, 6])
+def test_every_plan_finds_all_links(spark, thresholds, most):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = {int(c) for c in centres}
@@ -102,7 +103,7 @@ def test_every_plan_finds_all_links(spark, thresholds):
         fps = sorted(set(fps))
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), 0) for f in fps], "fp long, rest long")
     forest = simhash.Forest()
-    for r in simhash.links(df, plan).collect():
+    for r in simhash.links(df, plan, most=most).collect():
         forest.link(r.x, r.y)
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
     comp = plain_components(signed, fps)

@@ -12,7 +12,8 @@ value in every partition, and probes the buckets within the threshold. Buckets
 are read from sorted partitions; every pair in one is verified on all 64 bits
 there and then, and never emitted: a task returns the links of a spanning
 forest. A bucket with very many members is searched from member to member,
-dropping those already linked, so that a dense group costs about its size.
+dropping those already linked, so that a dense group costs about its size; one
+that is too large for a task is first dealt by the bits outside its partition.
 Components of the links are found by alternating star steps on tables.
 
 Fingerprints may be of 128 bits (keep_one with `total`): the first 64 are grouped,
@@ -53,6 +54,9 @@ ROW_COST = 50
 #: A bucket with more pairs than this is searched from member to member; the
 #: links have the same components either way.
 DENSE_PAIRS = 1 << 22
+#: A bucket of more rows than this is dealt to smaller ones, which have the same
+#: links together.
+BUCKET_ROWS = 1 << 20
 #: Settings for copies of a similarity of 0.8 or more: five-word shingles, at
 #: most 8 of the first 64 bits, and as many of 128 as 0.8 lets differ on average.
 SIMILAR = {"shingle": 5, "radius": 8, "total": 20}
@@ -250,6 +254,38 @@ def bucketed(distinct: DataFrame, plan: Plan) -> DataFrame:
     return distinct.select("fp", "rest").mapInArrow(rows, "bucket long, fp long, rest long, probe boolean")
 
 
+def refined(rows: DataFrame, plan: Plan, radius: int, most: int = BUCKET_ROWS) -> DataFrame:
+    """rows (bucket, fp, rest, probe) whose buckets of more than `most` rows are
+    dealt to smaller ones: the bits outside the bucket's partition are split into
+    radius + 1 groups, in one of which any two within the radius agree, and each
+    row goes to a bucket for its value in every group. Names of hot buckets come
+    to the driver, 8 bytes for every `most` rows at the most. New names may meet
+    by chance, which costs pairs to look at only."""
+    hot = np.array([r.bucket for r in rows.groupBy("bucket").count().where(F.col("count") > most).select("bucket").collect()], dtype=np.int64)
+    if not len(hot):
+        return rows
+    hot.sort()
+    outside = [[b for b in range(BITS) if b not in own] for own in plan.bits]
+    groups = [[tuple(bits[g :: radius + 1]) for g in range(radius + 1)] for bits in outside]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bucket, fp = (np.ascontiguousarray(b.column(c).to_numpy(zero_copy_only=False)) for c in (0, 1))
+            at = np.minimum(np.searchsorted(hot, bucket), len(hot) - 1)
+            is_hot = hot[at] == bucket
+            yield b.filter(pa.array(~is_hot))
+            for i, own in enumerate(groups):
+                mine = is_hot & (bucket >> 48 == i)
+                if not mine.any():
+                    continue
+                part, now, bits = b.filter(pa.array(mine)), bucket[mine].view(np.uint64), fp[mine].view(np.uint64)
+                for g, group in enumerate(own):
+                    name = (now * np.uint64(0x9E3779B97F4A7C15) + np.uint64(g + 1)) * np.uint64(0xD6E8FEB86659FD93) ^ gathered(bits, group)
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *part.columns[1:]], names=part.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 class Forest:
     """Links of a spanning forest over signed longs."""
 
@@ -326,7 +362,7 @@ def link_buckets(bucket: np.ndarray, fp: np.ndarray, rest: np.ndarray, probe: np
         at = to
 
 
-def links(distinct: DataFrame, plan: Plan, radius: int = RADIUS, total: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, plan: Plan, radius: int = RADIUS, total: int | None = None, most: int = BUCKET_ROWS) -> DataFrame:
     """x, y: fingerprints (fp, rest) in links whose components are those of all
     pairs within the radius, and within `total` bits with the rest."""
     total = radius if total is None else total
@@ -361,7 +397,7 @@ def links(distinct: DataFrame, plan: Plan, radius: int = RADIUS, total: int | No
             link_buckets(*(np.concatenate(c) for c in zip(*kept, strict=True)), radius, total, forest)
         yield from out()
 
-    rows = bucketed(distinct, plan)
+    rows = refined(bucketed(distinct, plan), plan, radius, most)
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "x long, y long")
 
 
