@@ -37,9 +37,20 @@ def delta(rows: DataFrame, tags: list[str], ts: str, value: str, ties: list[str]
     return d.withColumn("rate", F.col("delta") / F.nullif(F.col("__us") / 1e6, F.lit(0.0))).drop("__us")
 
 
+#: A block of time is so many times as long as the average reaches back.
+REACHES = 8
+
+
 def moving_average(rows: DataFrame, tags: list[str], ts: str, value: str, seconds: int) -> DataFrame:
-    w = Window.partitionBy(*tags).orderBy(micros(F.col(ts))).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("moving_avg", F.avg(value).over(w))
+    """Average over a row's last `seconds`, both ends included, by series. A
+    series is dealt by blocks of time, so that one with most of the rows has many
+    tasks; the rows that the next block reaches back to are sent there as well."""
+    us, reach = micros(F.col(ts)), max(1, seconds * 1_000_000)
+    into = F.pmod(us, F.lit(REACHES * reach))
+    own, later = us - into, us - into + REACHES * reach
+    dealt = rows.withColumn("__block", F.explode(F.when(into >= (REACHES - 1) * reach, F.array(own, later)).otherwise(F.array(own))))
+    w = Window.partitionBy(*tags, "__block").orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
+    return dealt.withColumn("moving_avg", F.avg(value).over(w)).where(F.col("__block").eqNullSafe(own)).drop("__block")
 
 
 def asof_join(left: DataFrame, right: DataFrame, tags: list[str], ts: str, values: list[str]) -> DataFrame:
