@@ -345,3 +345,42 @@ def test_files_are_bounded_by_bytes(spark, engine, monkeypatch):
     t.append(spark.createDataFrame([(datetime(2024, 1, 1, 0, i % 60), "y" * 88) for i in range(200)], t.schema))
     t.flush(NOW)
     assert len(t.snapshot().sealed) >= 5 and all(f.data_bytes <= 4000 for f in t.snapshot().sealed) and t.df().count() == 200
+
+
+def days(spark, n=3, per_day=600):
+    """Rows of some days, dealt over partitions; series go through all of a day."""
+    rows = spark.range(n * per_day).repartition(4)
+    at = F.timestamp_add("SECOND", F.col("id") % per_day * 60, F.timestamp_add("DAY", F.floor(F.col("id") / per_day), F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")))
+    return rows.select(at.alias("ts"), F.concat(F.lit("h"), F.col("id") % 4).alias("host"), F.col("id").cast("double").alias("value"))
+
+
+DAYS = T.StructType([SCHEMA["ts"], tag("host"), SCHEMA["value"]])
+
+
+@pytest.fixture
+def split(spark, engine, monkeypatch):
+    """A table whose chunks have several files each."""
+    from tidemark.sources import table
+
+    monkeypatch.setattr(table, "MAX_FILE_BYTES", 2000)
+    t = engine.create("split", DAYS, {"RETENTION_PERIOD": "2 DAYS"})
+    t.append(days(spark))
+    t.flush(NOW)
+    assert len(t.snapshot().sealed) > 12
+    return t
+
+
+def test_chunks_of_several_files(split):
+    found = inspect.chunks_view({"t": split}, NOW).orderBy("bucket_start").collect()
+    assert [(r.bucket_start.day, r.row_count, r.series, (r.ts_max - r.ts_min).seconds) for r in found] == [(d, 600, 4, 599 * 60) for d in (1, 2, 3)]
+
+
+def test_a_small_bucket_is_one_file(spark, engine):
+    t = engine.create("small", DAYS)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        t.append(days(spark))
+        t.flush(NOW)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(t.snapshot().sealed) == 3

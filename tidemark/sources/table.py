@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import replace
@@ -289,8 +290,8 @@ class Table:
     def seal(self, files: list[FileEntry], now: int) -> list[FileEntry]:
         """Chunks of the rows of files, sorted by series and time, ties by
         arrival. Hot and cold buckets differ in codec and are written apart. The
-        exchange ranges over bucket, series and time, so a bucket that holds most
-        rows is dealt to many tasks."""
+        exchange ranges over buckets, so a chunk is one file; one that is too
+        large for a file is dealt by series and time as well, to many tasks."""
         i, out = self.definition.interval, []
         lo, hi = min(i.start(f.ts_min) for f in files), max(i.start(f.ts_max) for f in files)
         # The first hot bucket is the one that the threshold falls in.
@@ -299,14 +300,37 @@ class Table:
         rows = self._read([f.path for f in files], meta=True).withColumn("__us", buckets.bucket_start_us(self.micros(), i))
         width = sum(f.data_bytes for f in files) / max(1, sum(f.rows for f in files))
         records = max(1, min(MAX_RECORDS, int(MAX_FILE_BYTES / max(width, 1))))
+        large = []
+        if sum(f.rows for f in files) > records:
+            large = [r[0] for r in rows.groupBy("__us").count().where(F.col("count") > records).collect()]
         parts = [(F.col("__us") < edge, False)] * (lo < edge) + [(F.col("__us") >= edge, True)] * (hi >= edge)
         for where, is_it in parts:
-            order = ["__us", *self.tags, self.ts]
-            sorted_rows = rows.where(where).withColumn("__bucket", buckets.compact_name(F.col("__us"))).repartitionByRange(*order).sortWithinPartitions(*order, SOURCE, ORDINAL)
+            order = [*self.tags, self.ts]
+            dealt = ["__us", *(F.when(F.col("__us").isin(large), F.col(c)) for c in order if large)]
+            # The writer wants rows by bucket; it sorts them anew, and loses the
+            # order of arrival, unless a column that is never null says so.
+            bucket = F.coalesce(buckets.compact_name(F.col("__us")), F.lit(""))
+            sorted_rows = rows.where(where).withColumn("__bucket", bucket).repartitionByRange(*dealt).sortWithinPartitions("__bucket", *order, SOURCE, ORDINAL)
             entries = self._write(sorted_rows.drop("__us", SOURCE, ORDINAL), self._folder(True, self.snapshot().next_id), self.definition.codecs.of(is_it), by_bucket=True, records=records)
-            out += [replace(e, sealed_at=now) for e in entries]
+            out += [replace(e, sealed_at=now) for e in self.shared_series(entries)]
         return sorted(out, key=lambda e: (e.start, e.path))
 
+    def shared_series(self, entries: list[FileEntry]) -> list[FileEntry]:
+        """Sealed files with the number of series that earlier ones of the chunk
+        have; only files that share a chunk are read, for their tags."""
+        files: dict[str, list[FileEntry]] = defaultdict(list)
+        for e in entries:
+            files[e.chunk].append(e)
+        split = [e for es in files.values() if len(es) > 1 for e in es]
+        new = {}
+        if split:
+            rows = self._read([e.path for e in split], meta=True).withColumn("__path", F.regexp_extract(SOURCE, rf".*/{DATA}/(.*)$", 1))
+            chunk = F.regexp_extract("__path", r"^(.*)/", 1)
+            first = rows.groupBy(chunk.alias("__chunk"), *self.tags).agg(F.min("__path").alias("__path"))
+            new = {r["__path"]: r["count"] for r in first.groupBy("__path").count().collect()}
+        several = {e.path for e in split}
+        return [replace(e, shared=e.series - new.get(data_name(e.path), 0) if e.path in several else 0) for e in entries]
+
     # --- reading
 
     def _read(self, paths: list[str], meta: bool = False) -> DataFrame:
