@@ -384,3 +384,22 @@ def test_a_small_bucket_is_one_file(spark, engine):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(t.snapshot().sealed) == 3
+
+
+def test_retention_and_compaction_take_chunks_whole(split):
+    # The cutoff falls within the second day: its files that end before it stay.
+    now = to_us(datetime(2024, 1, 4, 8))
+    assert any(to_us(datetime(2024, 1, 2)) <= f.ts_max < now - 2 * 86_400_000_000 for f in split.snapshot().sealed)
+    assert maintenance.apply_retention(split, now) == 1 and split.count() == 1200
+    files = [f.path for f in split.snapshot().files]
+    assert maintenance.compact(split, now=NOW) == 0 and [f.path for f in split.snapshot().files] == files
+
+
+def test_series_of_a_chunk_that_lost_a_file(split):
+    first = split.snapshot().chunks[0]
+    lost = next(f for f in split.snapshot().sealed if f.chunk == first.path)
+    path = f"{split.store.root}/{lost.path}".removeprefix("file://")
+    open(path, "ab").write(b"x")
+    assert maintenance.recover(split)["quarantined"] == 1
+    left = split.snapshot().chunks[0]
+    assert left.rows == 600 - lost.rows and left.series == split.scan(None, first.ts_max).select("host").distinct().count()

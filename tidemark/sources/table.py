@@ -223,19 +223,20 @@ class Table:
         if lost:
             raise CorruptError(f"{len(lost)} staged files are missing")
 
-    def flush_if_full(self) -> Manifest:
+    def flush_if_full(self, now: int | None = None) -> Manifest:
         """Flushes once pending rows reach MEMTABLE_SIZE, in plain bytes."""
         m = self.snapshot()
-        return self.flush() if sum(f.data_bytes for f in m.pending) >= self.definition.memtable_size else m
+        return self.flush(now) if sum(f.data_bytes for f in m.pending) >= self.definition.memtable_size else m
 
-    def append(self, df: DataFrame, batch_id: str | None = None) -> Manifest:
+    def append(self, df: DataFrame, batch_id: str | None = None, now: int | None = None) -> Manifest:
         """Adds all rows, or none if one is refused. A batch id that was
-        committed before is passed over."""
+        committed before is passed over. Should this fill the table's memory,
+        rows are sealed as of now."""
         m = self.snapshot()
         if batch_id and m.has_batch(batch_id):
             return m
         self._publish(self._staged(df), batch_id)
-        return self.flush_if_full()
+        return self.flush_if_full(now)
 
     @contextmanager
     def batch(self) -> Iterator[Batch]:
