@@ -403,3 +403,12 @@ def test_series_of_a_chunk_that_lost_a_file(split):
     assert maintenance.recover(split)["quarantined"] == 1
     left = split.snapshot().chunks[0]
     assert left.rows == 600 - lost.rows and left.series == split.scan(None, first.ts_max).select("host").distinct().count()
+
+
+def test_series_ids_follow_arrival_through_a_flush(spark, engine):
+    t = engine.create("f", DAYS, {"MEMTABLE_SIZE": 1 << 20})
+    at = F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")
+    rows = spark.range(60_000).select(at.alias("ts"), F.concat(F.lit("h"), F.lit(99) - F.col("id") % 7).alias("host"), F.lit(1.0).alias("value"))
+    t.append(rows.coalesce(1))  # which fills the table, and flushes it
+    assert not t.snapshot().pending
+    assert [r.host for r in t.series().orderBy("series_id").collect()] == [f"h{99 - i}" for i in range(7)]

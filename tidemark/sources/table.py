@@ -268,12 +268,15 @@ class Table:
         raise UnsupportedError("the HANDLER interface is not supported; use at(), first(), last() or scan()")
 
     def flush(self, now: int | None = None) -> Manifest:
-        """Seals pending rows: one or more chunks for each bucket."""
+        """Seals pending rows: one or more chunks for each bucket. Series get
+        their ids before, as sealed rows no longer tell their arrival."""
         now = now_us() if now is None else now
         old = self.snapshot()
         taken = old.pending
         if not taken:
             return old
+        if self.tags:
+            self._dimension()
         entries = self.seal(taken, now)
         self._must_exist(entries)
 
