@@ -299,6 +299,46 @@ def test_copies_with_common_short_pieces_are_linked(spark):
     assert {(r.doc_id, r.passage_start, r.passage_end) for r in got if r.doc_id >= 100} == {(100, 25, 85), (111, 25, 85)}
 
 
+def connected(links):
+    """Documents that links connect."""
+    groups = {}
+    for x, y in links:
+        both = groups.get(x, {x}) | groups.get(y, {y})
+        groups.update(dict.fromkeys(both, both))
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_copies_with_edits_whose_pieces_stand_elsewhere_are_linked(spark):
+    rng = random.Random(41)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for n in range(10):  # an edit every 16 words; each piece of 15 stands alone in an earlier document
+        passage, copies = fresh(80), []
+        for _ in range(3):
+            words = list(passage)
+            words[15::16] = fresh(5)
+            copies.append(words)
+        rows += [(20 * n + x, " ".join(fresh(30) + passage[16 * x : 16 * x + 15] + fresh(30))) for x in range(5)]
+        for x, words in enumerate(copies):
+            rows.append((20 * n + 10 + x, " ".join(fresh(30) + words + fresh(30))))
+            want.add(20 * n + 10 + x)
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = connected((r.doc_id, r.other_id) for r in got)
+    assert sorted(map(sorted, linked)) == [[20 * n + 10, 20 * n + 11, 20 * n + 12] for n in range(10)] and {r.doc_id for r in got} == want
+    assert {(r.passage_start, r.passage_end) for r in got} == {(30, 109)} and all(r.identity >= 0.8 for r in got)
+
+
+def test_lines_alone_are_not_alike():
+    rng = np.random.default_rng(8)
+    around = (rng.permutation((1 << 16) - 1)[: 600 * substring_dedup.AROUND] + 1).reshape(300, -1).astype(np.uint16)
+    around[:, :8] = around[0, :8]  # a line of 14 words
+    around[40, 20:23] = around[70, 16:19]
+    around[41, 44:] = around[71, 44:]
+    around[:, 40:44] = 0  # texts end there
+    pairs = lambda fresh: {(int(x), int(y)) for xs, ys in substring_dedup.alike(around, fresh) for x, y in zip(xs, ys, strict=True)}
+    assert pairs(np.ones(300, bool)) == {(40, 70), (41, 71)} and pairs(np.arange(300) == 71) == {(41, 71)} and not pairs(np.zeros(300, bool))
+
+
 def test_runs_depend_on_their_seeds_only():
     rng = np.random.default_rng(3)
     words = rng.integers(0, 1 << 32, 200, dtype=np.uint32)

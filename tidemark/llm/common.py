@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Drops the shuffle files of frames that nothing refers to any longer: Spark
+    does so when the driver's JVM has collected them, which may be late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     have = {c.lower() for c in df.columns}

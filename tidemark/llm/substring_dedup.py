@@ -7,7 +7,10 @@ occurrence, in the order of document numbers, not with all others: matches grow
 text, not with the square of a group. That occurrence may stand in a text that
 shares only a short piece, so runs of seeds as long as a part are matched with
 the first occurrence of the run as well: texts that share a run are linked over
-it, whatever its pieces meet elsewhere. The matches of two documents are chained:
+it, whatever its pieces meet elsewhere. Seeds that no passage covers after that
+are compared with all other occurrences, and matched with those that also have
+three words in a row in common further off, on the same side, as the two ends of
+any part through the seed do. The matches of two documents are chained:
 a chain goes forward in both, gains k for each match and pays for the words
 between matches; the best predecessor comes from a Fenwick tree of prefix
 maxima. Chains are aligned word by word: from their ends outwards, over small
@@ -23,7 +26,8 @@ a passage, which is reported from min_words on.
 Documents that share a passage word by word are linked to documents that have
 its runs first, so links between different texts connect all that share it. One
 whose copies differ so often that no run is the same in two of them is found by
-the first occurrences of its seeds only.
+its single seeds: each copy is compared with the first occurrences, and where
+that covers it by no passage with every other copy that has the seed.
 
 Inside the operator a document is a number from its id and a hash of its text, so
 rows that share an id, or have none, are documents of their own as long as their
@@ -49,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import cut, release, whole_text
 
 K, WINDOW = 6, 10
 MIN_WORDS, PART_WORDS = 50, 25
@@ -65,6 +69,12 @@ MARGIN = 80
 #: how many words must agree after them.
 STEPS = sorted(((x, y) for x in range(5) for y in range(5) if x or y), key=lambda s: (max(s), abs(s[0] - s[1]), s))
 AGAIN = 3
+#: Words around a seed that tell which of its occurrences go on alike; from FAR
+#: words off the seed on in one of two texts, NEAR in the other, AGAIN words must
+#: agree. A part goes on for (PART_WORDS - K) / 2 words at least on one side, and
+#: its last AGAIN agree.
+AROUND, NEAR = 24, 2
+FAR = (PART_WORDS - K + 1) // 2 - AGAIN - 1
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -366,6 +376,123 @@ def document_key() -> Column:
     return F.when((F.col("id") >= 0) & (F.col("id") < room), short).otherwise(hashed.bitwiseOR(F.lit(-(1 << 63))))
 
 
+OCCURRENCES = "a long, i int, doc long, pos int, open boolean, around binary"
+
+
+def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (a, i, doc, pos, open) with 16 bits of the hash of each of the
+    AROUND words after a seed, then before it, nearest first; 0 where the text
+    ends. Texts and wishes meet as in stretches()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, text, words = None, None, None
+        for b in batches:
+            docs_, texts, pos, rows, around = b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), [], []
+            for n, (doc, p) in enumerate(zip(docs_, pos, strict=True)):
+                if p is None:
+                    if doc != last:
+                        last, text, words = doc, texts[n].as_py(), None
+                elif doc == last:
+                    if words is None:
+                        words = np.concatenate([np.zeros(AROUND, np.uint16), word_hashes(text) % 65535 + 1, np.zeros(AROUND + K, np.uint16)]).astype(np.uint16)
+                    if p + K + 2 * AROUND <= len(words) - K:  # else of another text with this number
+                        at = p + AROUND
+                        rows.append(n)
+                        around.append(np.concatenate([words[at + K : at + K + AROUND], words[p:at][::-1]]).tobytes())
+            if rows:
+                kept = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([kept.column(4), kept.column(5), kept.column(0), kept.column(2), kept.column(3), pa.array(around, pa.binary())], names=["a", "i", "doc", "pos", "open", "around"])
+
+    none = F.lit(None)
+    texts = docs.select("doc", "text", none.cast("int").alias("pos"), none.cast("boolean").alias("open"), none.cast("long").alias("a"), none.cast("int").alias("i"))
+    both = texts.unionByName(wanted.select("doc", none.cast("string").alias("text"), "pos", "open", "a", "i"))
+    return both.repartition("doc").sortWithinPartitions("doc", "pos").mapInArrow(run, OCCURRENCES)
+
+
+def alike(around: np.ndarray, fresh: np.ndarray, far_off: int = FAR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of contexts, one of them fresh at least, that have AGAIN
+    words in a row in common on one side, from far_off words off in one of them
+    and NEAR in the other; pairs may come again."""
+    n = len(around)
+    for side in (around[:, :AROUND], around[:, AROUND:]):
+        grams, whole = np.zeros((n, AROUND - AGAIN + 1), np.uint64), np.ones((n, AROUND - AGAIN + 1), bool)
+        for t in range(AGAIN):
+            part = side[:, t : AROUND - AGAIN + 1 + t]
+            grams, whole = grams << np.uint64(16) | part, whole & (part > 0)
+        # Near ones sorted by their words; each far one meets those equal to it.
+        row, off = np.nonzero(whole)
+        near, far = off >= min(NEAR, far_off), off >= far_off
+        key = grams[row, off]
+        order = np.argsort(key[near], kind="stable")
+        sorted_key, sorted_row = key[near][order], row[near][order]
+        far_key, far_row = key[far], row[far]
+        lo, hi = np.searchsorted(sorted_key, far_key), np.searchsorted(sorted_key, far_key, "right")
+        lone = hi - lo < 2  # itself only
+        lo, hi, far_row = lo[~lone], hi[~lone], far_row[~lone]
+        total = np.cumsum(hi - lo)
+        start = 0
+        while start < len(lo):  # about a million pairs at a time
+            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + (1 << 20))))
+            count = hi[start:end] - lo[start:end]
+            x = np.repeat(far_row[start:end], count)
+            y = sorted_row[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[start:end], count)]
+            good = (x != y) & (fresh[x] | fresh[y])
+            x, y = np.minimum(x, y)[good], np.maximum(x, y)[good]
+            if len(x):
+                pairs = np.unique(x.astype(np.int64) * n + y)
+                yield pairs // n, pairs % n
+            start = end
+
+
+def open_matches(shared: DataFrame, covered: DataFrame, docs: DataFrame, part_words: int) -> DataFrame:
+    """Matches (a, b, i, j) of seeds that lie in no passage (doc, passage_start,
+    passage_end) with all other occurrences but the first, where both go on
+    alike. Occurrences with the same words around are matched with one of them,
+    and that one with the others."""
+    inside = (F.col("doc") == F.col("in_doc")) & (F.col("pos") >= F.col("passage_start")) & (F.col("pos") + K <= F.col("passage_end"))
+    group = Window.partitionBy("a", "i")
+    several = shared.select("a", "i", "doc", "pos").where("doc <> a").withColumns({"x": F.min("doc").over(group), "y": F.max("doc").over(group)}).where("x < y")
+    # A document's passages are apart, so a seed is in one at most.
+    marked = several.join(covered.withColumnRenamed("doc", "in_doc"), inside, "left").select("a", "i", "doc", "pos", F.col("in_doc").isNull().alias("open"))
+    wanted = marked.withColumn("any", F.max("open").over(group)).where("any")
+    far = min(max((part_words - K + 1) // 2 - AGAIN - 1, 0), FAR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, doc, pos, fresh_, around in groups_of(batches):
+            words = np.frombuffer(b"".join(around), np.uint16).reshape(len(doc), 2 * AROUND)
+            # Rows stand in order of doc and pos, so the first of equal ones has the least.
+            _, first, which = np.unique(words, axis=0, return_index=True, return_inverse=True)
+            any_fresh = np.zeros(len(first), bool)
+            np.logical_or.at(any_fresh, which, fresh_.astype(bool))
+            order = np.argsort(first)
+            own = np.arange(len(doc))
+            star = (first[which] != own) & any_fresh[which]
+            found = [(first[which][star], own[star])]
+            chosen = first[order]
+            for x, y in [*found, *((chosen[x], chosen[y]) for x, y in alike(words[chosen], any_fresh[order], far))]:
+                good = doc[x] != doc[y]
+                x, y = x[good], y[good]
+                for s in range(0, len(x), 1 << 16):
+                    u, v = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[u]), pa.array(doc[v]), pa.array(pos[u].astype(np.int32)), pa.array(pos[v].astype(np.int32))], names=["a", "b", "i", "j"])
+
+    seen = contexts(docs, wanted).repartition("a", "i").sortWithinPartitions("a", "i", "doc", "pos")
+    return seen.mapInArrow(run, "a long, b long, i int, j int").distinct()
+
+
+def whole_passages(parts: DataFrame, min_words: int) -> DataFrame:
+    """doc, start, end of each stretch that a part covers, and the passage that
+    it belongs to, of min_words or more."""
+    side = lambda x: parts.select(F.col(x).alias("doc"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_end").alias("end"))
+    spans = side("a").unionByName(side("b")).distinct()
+    line = Window.partitionBy("doc").orderBy("start", "end")
+    new = F.coalesce((F.col("start") > F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    spans = spans.withColumn("new", new).withColumn("n", F.sum("new").over(line))
+    whole = Window.partitionBy("doc", "n")
+    spans = spans.withColumns({"passage_start": F.min("start").over(whole), "passage_end": F.max("end").over(whole)}).where(F.col("passage_end") - F.col("passage_start") >= min_words)
+    return spans.select("doc", "start", "end", "passage_start", "passage_end")
+
+
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, part_words: int = PART_WORDS, identity: float = IDENTITY) -> DataFrame:
     """doc_id, start, end, other_id, other_start, other_end (in words, the end
     exclusive), identity, passage_start, passage_end: every part that a document
@@ -379,6 +506,8 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, part_words: int = PART
     # Where the first document has a seed again, it is matched with the last one.
     back = F.when((F.col("doc") == F.col("a")) & (F.col("pos") != F.col("i")), F.col("last"))
     shared = cut(all_seeds.join(first, "h").select("run", "doc", "pos", "a", "i", back["doc"].alias("z"), back["pos"].alias("zi")))
+    del all_seeds, ends, first
+    release(docs.sparkSession)
     # A run has the match of its first seed, and one of its own if it starts elsewhere first.
     whole_runs = shared.where("run <> -1")
     own = whole_runs.groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last"), F.min("a").alias("a"), F.min("i").alias("i"))
@@ -388,12 +517,14 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, part_words: int = PART
     matches = matches.unionByName(shared.where("z IS NOT NULL").select(F.col("z").alias("a"), F.col("doc").alias("b"), F.col("zi").alias("i"), F.col("pos").alias("j")))
     found = cut(chains(matches, part_words))
     parts = cut(aligned(found, d, identity, part_words).distinct())
+    del whole_runs, own, again, matches, found
+    release(docs.sparkSession)
+    covered = whole_passages(parts, min_words).select("doc", "passage_start", "passage_end").distinct()
+    found = cut(chains(open_matches(shared, covered, d, part_words), part_words))
+    parts = cut(parts.unionByName(aligned(found, d, identity, part_words)).distinct())
+    del covered, found
+    release(docs.sparkSession)
+    spans = whole_passages(parts, min_words)
     one_way = lambda x, y: parts.select(F.col(x).alias("doc"), F.col(f"{x}_id").alias("doc_id"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_end").alias("end"), F.col(f"{y}_id").alias("other_id"), F.col(f"{y}_start").alias("other_start"), F.col(f"{y}_end").alias("other_end"), "identity")
     rows = one_way("b", "a").unionByName(one_way("a", "b"))
-    spans = rows.select("doc", "start", "end").distinct()
-    line = Window.partitionBy("doc").orderBy("start", "end")
-    new = F.coalesce((F.col("start") > F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
-    spans = spans.withColumn("new", new).withColumn("n", F.sum("new").over(line))
-    whole = Window.partitionBy("doc", "n")
-    spans = spans.withColumns({"passage_start": F.min("start").over(whole), "passage_end": F.max("end").over(whole)}).where(F.col("passage_end") - F.col("passage_start") >= min_words)
-    return rows.join(spans.select("doc", "start", "end", "passage_start", "passage_end"), ["doc", "start", "end"]).select("doc_id", "start", "end", "other_id", "other_start", "other_end", "identity", "passage_start", "passage_end")
+    return rows.join(spans, ["doc", "start", "end"]).select("doc_id", "start", "end", "other_id", "other_start", "other_end", "identity", "passage_start", "passage_end")
