@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,8 +39,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Drops the shuffle files of frames that nothing refers to any longer: Spark
-    does so when the driver's JVM has collected them, which may be late."""
+    does so when the driver's JVM has collected them, which may be late. Py4J
+    tells the JVM what Python has dropped once a second."""
     gc.collect()
+    time.sleep(2)
     spark._jvm.System.gc()
 
 
