@@ -9,8 +9,8 @@ shares only a short piece, so runs of seeds as long as a part are matched with
 the first occurrence of the run as well: texts that share a run are linked over
 it, whatever its pieces meet elsewhere. Seeds that no passage covers after that
 are compared with all other occurrences, and matched with those that also have
-three words in a row in common further off, on the same side, as the two ends of
-any part through the seed do. The matches of two documents are chained:
+three words in a row in common further off, on the same side, as parts through the
+seed have. The matches of two documents are chained:
 a chain goes forward in both, gains k for each match and pays for the words
 between matches; the best predecessor comes from a Fenwick tree of prefix
 maxima. Chains are aligned word by word: from their ends outwards, over small
