@@ -328,6 +328,35 @@ def test_copies_with_edits_whose_pieces_stand_elsewhere_are_linked(spark):
     assert {(r.passage_start, r.passage_end) for r in got} == {(30, 109)} and all(r.identity >= 0.8 for r in got)
 
 
+def test_repeated_words_are_linked_without_all_pairs(spark):
+    rng = random.Random(51)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    many = 60
+    rows = [(n, " ".join(fresh(9) + ["of"] * (26 + n % 23) + ["to"] * (26 + 7 * n % 23) + fresh(9))) for n in range(many)]
+    rows += [(100, " ".join(["der"] * 200)), (101, " ".join(fresh(9) + ["der"] * 60 + fresh(9))), (102, " ".join(["der"] * 55))]
+    rows += [(200 + n, " ".join(fresh(9) + ["ja", "so"] * (40 + n) + fresh(9))) for n in range(many)]
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) <= 20 * (2 * many + 3)
+    for d, words in shared_windows(rows).items():
+        assert words <= {x for r in got if r.doc_id == rows[d][0] for x in range(r.passage_start, r.passage_end)}, rows[d][0]
+    assert connected((r.doc_id, r.other_id) for r in got) == {frozenset(range(many)), frozenset((100, 101, 102)), frozenset(range(200, 200 + many))}
+
+
+def test_pieces_of_two_repetitions_meet_the_first():
+    rng = np.random.default_rng(9)
+    n, side = 300, substring_dedup.AROUND
+    around = rng.integers(3, 1 << 16, (n, 2 * side)).astype(np.uint16)
+    ends = [(int(x), 19 - int(x)) for x in rng.integers(3, 17, n)]
+    for row, (x, y) in zip(around, ends, strict=True):
+        row[:x], row[side : side + y] = 1, 2
+    found = {(int(x), int(y)) for xs, ys in substring_dedup.alike(around, np.ones(n, bool)) for x, y in zip(xs, ys, strict=True)}
+    linked = connected(found)
+    assert len(found) <= 20 * n
+    for at in set(ends):
+        same = {x for x in range(n) if ends[x] == at}
+        assert len(same) < 2 or any(same <= g for g in linked)
+
+
 def test_lines_alone_are_not_alike():
     rng = np.random.default_rng(8)
     around = (rng.permutation((1 << 16) - 1)[: 600 * substring_dedup.AROUND] + 1).reshape(300, -1).astype(np.uint16)

@@ -75,6 +75,11 @@ AGAIN = 3
 #: its last AGAIN agree.
 AROUND, NEAR = 24, 2
 FAR = (PART_WORDS - K + 1) // 2 - AGAIN - 1
+#: Repetitions of up to so many words are matched by their lengths, at places
+#: STEP words apart (a multiple of all periods).
+PERIOD, STEP = 4, 36
+#: Runs from -LENGTHS to -2 are lengths of repetitions, negated.
+LENGTHS = 1 << 34
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -89,16 +94,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def seeds(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of a text's seeds; of a run of equal ones the first."""
-    n = len(words) - k + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
+    n = max(len(words) - k + 1, 0)
     w = mixed(words.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     h = np.zeros(n, dtype=np.uint64)
     for j in range(k):
         h = h * np.uint64(0xD6E8FEB86659FD93) + w[j : j + n]
-    h = mixed(h)
+    return mixed(h)
+
+
+def seeds(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of a text's seeds; of a run of equal ones the first."""
+    return minimisers(kmers(words, k), window)
+
+
+def minimisers(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    n = len(h)
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     view = np.lib.stride_tricks.sliding_window_view(h, min(window, n))
     at = np.unique(view.argmin(1) + np.arange(len(view)))
     own = h[at]
@@ -106,6 +119,24 @@ def seeds(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarr
     return own[first].view(np.int64), at[first].astype(np.int32)
 
 
+def repetitions(h: np.ndarray, part_words: int, k: int = K) -> list[tuple[int, int, int]]:
+    """Where a text repeats up to PERIOD words over a part or more: a hash of
+    what it repeats, the first place of its smallest k-mer, and the words from
+    there to the end of the last one, with the period in the lowest 3 bits."""
+    found = []
+    for period in range(1, min(PERIOD, len(h) - 1) + 1):
+        same = h[period:] == h[:-period]
+        if not same.any():
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if e - s + period + k - 1 >= part_words and len(set(h[s : s + period].tolist())) == period:
+                least = h[s : s + period].min()
+                at = s + np.flatnonzero(h[s : e + period] == least)
+                found.append((int(mixed(np.array([least + np.uint64(period)])).view(np.int64)[0]), int(at[0]), int(at[-1] - at[0] + k) << 3 | period))
+    return found
+
+
 def runs(own: np.ndarray, at: np.ndarray, part_words: int, k: int = K) -> np.ndarray:
     """For each seed a hash of the seeds from it to the first that ends
     part_words on or later; -1 where the text has none."""
@@ -117,19 +148,27 @@ def runs(own: np.ndarray, at: np.ndarray, part_words: int, k: int = K) -> np.nda
     powers, back = np.cumprod(powers), np.cumprod(back)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own.view(np.uint64) * powers[:n])])
     whole = mixed((sums[np.minimum(end + 1, n)] - sums[:n]) * back[:n]).view(np.int64)
+    whole = np.where((whole < 0) & (whole >= -LENGTHS), whole ^ (1 << 62), whole)
     return np.where(end < n, whole, -1)
 
 
 def seed_rows(docs: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
+    """Seeds with their runs, and repetitions with their lengths as runs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
                 hs, ps, rs, n = [], [], [], []
                 for t in part.column(1):
-                    h, p = seeds(word_hashes(t.as_py()))
+                    every = kmers(word_hashes(t.as_py()))
+                    h, p = minimisers(every)
+                    r = runs(h, p, part_words)
+                    if more := repetitions(every, part_words):
+                        x, y, z = (np.array(c, np.int64) for c in zip(*more, strict=True))
+                        h, p, r = np.concatenate([h, x]), np.concatenate([p, y.astype(np.int32)]), np.concatenate([r, -z])
                     hs.append(h)
                     ps.append(p)
-                    rs.append(runs(h, p, part_words))
+                    rs.append(r)
                     n.append(len(h))
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(ids), pa.array(np.concatenate(ps)), pa.array(np.concatenate(rs))], names=["h", "doc", "pos", "run"])
@@ -412,16 +451,40 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def alike(around: np.ndarray, fresh: np.ndarray, far_off: int = FAR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of contexts, one of them fresh at least, that have AGAIN
     words in a row in common on one side, from far_off words off in one of them
-    and NEAR in the other; pairs may come again."""
+    and NEAR in the other; pairs may come again. Words that repeat those before
+    them don't count, as repetitions are matched by their lengths; where one side
+    is such, the other needs to agree for the rest of a part only. Rows that
+    make a part of the same two repetitions meet the first that has as many of both."""
     n = len(around)
+    sides, beside = [], []
     for side in (around[:, :AROUND], around[:, AROUND:]):
-        grams, whole = np.zeros((n, AROUND - AGAIN + 1), np.uint64), np.ones((n, AROUND - AGAIN + 1), bool)
+        grams, whole, again = np.zeros((n, AROUND - AGAIN + 1), np.uint64), np.ones((n, AROUND - AGAIN + 1), bool), np.zeros((n, AROUND - AGAIN + 1), bool)
         for t in range(AGAIN):
             part = side[:, t : AROUND - AGAIN + 1 + t]
             grams, whole = grams << np.uint64(16) | part, whole & (part > 0)
+        for t in range(1, PERIOD + 1):
+            again[:, t:] |= grams[:, t:] == grams[:, :-t]
+        again &= whole
+        sides.append((grams, whole & ~again))
+        repeated = np.where(again[:, far_off], far_off + np.logical_and.accumulate(again[:, far_off:], axis=1).sum(1) + AGAIN - 1, 0)
+        beside.append(np.clip(2 * (far_off + AGAIN + 1) - 1 - repeated - AGAIN - 1, 0, far_off))
+    need = 2 * (far_off + AGAIN + 1) - 1
+    after, before = around[:, :AROUND], around[:, AROUND:]
+    many = [(s[:, 0] > 0) * (1 + np.logical_and.accumulate(s[:, 1:] == s[:, :1], axis=1).sum(1)) for s in (after, before)]
+    both = np.flatnonzero((many[0] > 0) & (many[1] > 0) & (many[0] + many[1] >= need) & (after[:, 0] != before[:, 0]))
+    kind = after[both, 0].astype(np.int64) << 16 | before[both, 0]
+    for j in range(1, need) if len(both) > 1 else ():
+        enough = (many[0][both] >= j) & (many[1][both] >= need - j)
+        _, first, which = np.unique(kind[enough], return_index=True, return_inverse=True)
+        y = both[enough]
+        x = y[first][which] if len(y) else y
+        good = (x != y) & (fresh[x] | fresh[y])
+        if good.any():
+            yield x[good], y[good]
+    for (grams, whole), least in zip(sides, beside[::-1], strict=True):
         # Near ones sorted by their words; each far one meets those equal to it.
         row, off = np.nonzero(whole)
-        near, far = off >= min(NEAR, far_off), off >= far_off
+        near, far = off >= np.minimum(NEAR, least)[row], off >= least[row]
         key = grams[row, off]
         order = np.argsort(key[near], kind="stable")
         sorted_key, sorted_row = key[near][order], row[near][order]
@@ -444,6 +507,27 @@ def alike(around: np.ndarray, fresh: np.ndarray, far_off: int = FAR) -> Iterator
             start = end
 
 
+def repeated_matches(shared: DataFrame) -> DataFrame:
+    """Matches (a, b, i, j) of repetitions with the longest of the same words in
+    another document, which has all of them, at places STEP apart. The longest
+    one meets that of the other again and again, as far as it goes."""
+    group = Window.partitionBy("a", "i", F.col("run").bitwiseAND(7))
+    longest = shared.where(repetition()).select("a", "i", F.abs("run").alias("run"), "doc", "pos").withColumn("x", F.min(F.struct((-F.col("run")).alias("run"), "doc", "pos")).over(group))
+    longest = longest.withColumn("y", F.min(F.when(F.col("doc") != F.col("x.doc"), F.struct((-F.col("run")).alias("run"), "doc", "pos"))).over(group))
+    with_ = F.when(F.col("doc") == F.col("x.doc"), F.col("y")).otherwise(F.col("x"))
+    pairs = longest.select("doc", "pos", "run", with_.alias("o")).where("o IS NOT NULL")
+    own, less = (F.shiftright(x, 3).cast("int") for x in (F.col("run"), F.least(F.col("run"), -F.col("o.run"))))
+    up_to = lambda end, step: F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), end, step), F.array(end))))
+    pairs = pairs.withColumn("at", up_to(less - K, F.lit(STEP))).withColumn("shift", up_to(own - less, F.greatest(less - less % 12, F.lit(12))))
+    mine = F.struct("doc", (F.col("pos") + F.col("at") + F.col("shift")).alias("pos"))
+    other = F.struct(F.col("o.doc").alias("doc"), (F.col("o.pos") + F.col("at")).alias("pos"))
+    return pairs.select(F.least(mine, other).alias("l"), F.greatest(mine, other).alias("g")).select(F.col("l.doc").alias("a"), F.col("g.doc").alias("b"), F.col("l.pos").alias("i"), F.col("g.pos").alias("j")).distinct()
+
+
+def repetition() -> Column:
+    return F.col("run").between(-LENGTHS, -2)
+
+
 def open_matches(shared: DataFrame, covered: DataFrame, docs: DataFrame, part_words: int) -> DataFrame:
     """Matches (a, b, i, j) of seeds that lie in no passage (doc, passage_start,
     passage_end) with all other occurrences but the first, where both go on
@@ -451,7 +535,7 @@ def open_matches(shared: DataFrame, covered: DataFrame, docs: DataFrame, part_wo
     and that one with the others."""
     inside = (F.col("doc") == F.col("in_doc")) & (F.col("pos") >= F.col("passage_start")) & (F.col("pos") + K <= F.col("passage_end"))
     group = Window.partitionBy("a", "i")
-    several = shared.select("a", "i", "doc", "pos").where("doc <> a").withColumns({"x": F.min("doc").over(group), "y": F.max("doc").over(group)}).where("x < y")
+    several = shared.where(~repetition()).select("a", "i", "doc", "pos").where("doc <> a").withColumns({"x": F.min("doc").over(group), "y": F.max("doc").over(group)}).where("x < y")
     # A document's passages are apart, so a seed is in one at most.
     marked = several.join(covered.withColumnRenamed("doc", "in_doc"), inside, "left").select("a", "i", "doc", "pos", F.col("in_doc").isNull().alias("open"))
     wanted = marked.withColumn("any", F.max("open").over(group)).where("any")
@@ -499,22 +583,23 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, part_words: int = PART
     shares with another, in both directions, and the passage that it belongs
     to."""
     d = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).select(document_key().alias("doc"), "id", "text")
-    all_seeds = seed_rows(d, part_words)
-    place = F.struct("doc", "pos")
-    ends = all_seeds.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.doc < last.doc")
-    first = ends.select("h", F.col("first.doc").alias("a"), F.col("first.pos").alias("i"), "last")
+    # Seeds are made and dealt once; a group of equal ones may be spilled.
+    equal = Window.partitionBy("h").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = {"a": F.first("doc"), "i": F.first("pos"), "last": F.last("doc"), "last_pos": F.last("pos")}
+    all_seeds = seed_rows(d, part_words).withColumns({c: f.over(equal) for c, f in ends.items()}).where("a < last")
     # Where the first document has a seed again, it is matched with the last one.
-    back = F.when((F.col("doc") == F.col("a")) & (F.col("pos") != F.col("i")), F.col("last"))
-    shared = cut(all_seeds.join(first, "h").select("run", "doc", "pos", "a", "i", back["doc"].alias("z"), back["pos"].alias("zi")))
-    del all_seeds, ends, first
+    back = (F.col("doc") == F.col("a")) & (F.col("pos") != F.col("i"))
+    shared = cut(all_seeds.select("run", "doc", "pos", "a", "i", F.when(back, F.col("last")).alias("z"), F.when(back, F.col("last_pos")).alias("zi")))
+    del all_seeds
     release(docs.sparkSession)
     # A run has the match of its first seed, and one of its own if it starts elsewhere first.
-    whole_runs = shared.where("run <> -1")
+    whole_runs = shared.where((F.col("run") != -1) & ~repetition())
     own = whole_runs.groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last"), F.min("a").alias("a"), F.min("i").alias("i"))
     own = own.where("first.doc < last AND (first.doc <> a OR first.pos <> i)").select("run", F.col("first.doc").alias("a"), F.col("first.pos").alias("i"))
     again = whole_runs.select("run", "doc", "pos").join(own, "run").where("doc <> a")
-    matches = reduce(DataFrame.unionByName, (m.select("a", F.col("doc").alias("b"), "i", F.col("pos").alias("j")) for m in (shared.where("doc <> a"), again)))
-    matches = matches.unionByName(shared.where("z IS NOT NULL").select(F.col("z").alias("a"), F.col("doc").alias("b"), F.col("zi").alias("i"), F.col("pos").alias("j")))
+    matches = reduce(DataFrame.unionByName, (m.select("a", F.col("doc").alias("b"), "i", F.col("pos").alias("j")) for m in (shared.where("doc <> a").where(~repetition()), again)))
+    matches = matches.unionByName(repeated_matches(shared))
+    matches = matches.unionByName(shared.where("z IS NOT NULL").where(~repetition()).select(F.col("z").alias("a"), F.col("doc").alias("b"), F.col("zi").alias("i"), F.col("pos").alias("j")))
     found = cut(chains(matches, part_words))
     parts = cut(aligned(found, d, identity, part_words).distinct())
     del whole_runs, own, again, matches, found
