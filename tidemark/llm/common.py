@@ -40,10 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Drops the shuffle files of frames that nothing refers to any longer: Spark
     does so when the driver's JVM has collected them, which may be late. Py4J
-    tells the JVM what Python has dropped once a second."""
+    tells the JVM what Python has dropped once a second, later on a busy machine."""
     gc.collect()
-    time.sleep(2)
-    spark._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(1.5)
+        spark._jvm.System.gc()
 
 
 def fresh_name(df: DataFrame, name: str) -> str:
